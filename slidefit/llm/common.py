@@ -42,3 +42,25 @@ def read_bytes(path: str) -> bytes:
     """A vocabulary file on the driver; executors get its bytes by broadcast."""
     with open(path, "rb") as f:
         return f.read()
+
+
+class Memory:
+    """A bounded dictionary; when full, it starts anew. Unless first, it takes a key when it is offered for the second time."""
+
+    def __init__(self, limit: int, first: bool = False):
+        self.known: dict = {}
+        self.limit, self.once = limit, None if first else bytearray(1 << 22)
+
+    def offer(self, items: dict) -> None:
+        if len(self.known) >= self.limit:
+            self.known = {}
+        if self.once is None:
+            self.known.update(items)
+            return
+        known, once, mask = self.known, self.once, len(self.once) - 1
+        for k, v in items.items():
+            at = hash(k) & mask
+            if once[at]:
+                known[k] = v
+            else:
+                once[at] = 1

@@ -19,11 +19,14 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import read_bytes, texts
+from .common import Memory, read_bytes, texts
 
 MARK = "▁"
 #: Entries of a worker's memories before they start anew.
-CACHE_WORDS, CACHE_PAIRS = 500_000, 1_000_000
+CACHE_WORDS, CACHE_STEMS, CACHE_PAIRS = 300_000, 600_000, 1_000_000
+#: Marks that words often end with.
+MARKS = ".,!%&#$*|?;:"
+START = 0xFFFF
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _state: dict = {}
 
@@ -48,7 +51,9 @@ class PrefixEncoder:
         for p, i in self.pieces.items():
             self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
-        self.ids, self.decoded, self.pair = {}, {}, {}
+        self.single = {p for p in self.pieces if len(p) == 1}
+        self.inside = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}  # neighbours within an entry
+        self.words, self.stems, self.pair = Memory(CACHE_WORDS), Memory(CACHE_STEMS, first=True), {}
 
     def merge(self, s: str) -> list[str]:
         """Symbols after merging neighbours by score, the leftmost first among equals."""
@@ -73,14 +78,13 @@ class PrefixEncoder:
             offer(a, after[a])
         return [x for x in sym if x]
 
-    def compatible(self, left: int | None, right: int) -> bool:
-        """Whether right may follow left; left None: a text's start or a character outside the vocabulary."""
-        if (ok := self.pair.get((left, right))) is None:
-            b = self.text[right]
-            ok = self.merge(b) == [b] if left is None else self.merge(self.text[left] + b) == [self.text[left], b]
-            if len(self.pair) >= CACHE_PAIRS:
-                self.pair.clear()
-            self.pair[left, right] = ok
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether right may follow left; left START: a text's start or a character outside the vocabulary."""
+        b = self.text[right]
+        ok = self.merge(b) == [b] if left == START else self.merge(self.text[left] + b) == [self.text[left], b]
+        if len(self.pair) >= CACHE_PAIRS:
+            self.pair.clear()
+        self.pair[left << 16 | right] = ok
         return ok
 
     def byte_ids(self, s: str) -> list[int]:
@@ -90,45 +94,50 @@ class PrefixEncoder:
         """Ids of a word by its prefix table."""
         if s.startswith(MARK * 2):
             return [i for x in self.merge(s) for i in ([self.pieces[x]] if x in self.pieces else self.byte_ids(x))]
-        n = len(s)
-        last: list = [None] * (n + 1)  # the token that ends here, or (None, 1) for a foreign character
-        known = bytearray(n + 1)
-        known[0] = 1
-        best: list = [None] * n
-        for end, (i, size) in self.automaton.iter(s):
-            if best[end] is None:
-                best[end] = [(i, size)]
-            else:
-                best[end].append((i, size))
-        for end in range(n):
-            for i, size in best[end] or ():
-                start = end + 1 - size
-                if known[start] and self.compatible(last[start][0] if last[start] else None, i):
-                    last[end + 1], known[end + 1] = (i, size), 1
-                    break
-            else:
-                if s[end] not in self.pieces:
-                    last[end + 1], known[end + 1] = (None, 1), 1
-        out, at = [], n
+        if not self.single.issuperset(s):  # characters outside the vocabulary stand alone
+            out, at = [], 0
+            for k, c in enumerate(s):
+                if c not in self.single:
+                    out += self.table(s[at:k]) + self.byte_ids(c)
+                    at = k + 1
+            return out + self.table(s[at:])
+        return self.table(s)
+
+    def table(self, s: str) -> list[int]:
+        """The unique last token of each prefix, then the ids from the end backwards."""
+        if not s:
+            return []
+        last, size, pair = [-1] * (len(s) + 1), [0] * (len(s) + 1), self.pair
+        last[0] = START
+        for end, (i, n) in self.automaton.iter(s):
+            end += 1
+            if last[end] < 0 and (left := last[end - n]) >= 0:
+                ok = pair.get(left << 16 | i)
+                if ok or ok is None and self.compatible(left, i):
+                    last[end], size[end] = i, n
+        out, at = [], len(s)
         while at:
-            i, size = last[at]
-            out += [i] if i is not None else self.byte_ids(s[at - 1])[::-1]
-            at -= size
+            out.append(last[at])
+            at -= size[at]
         return out[::-1]
 
     def look(self, s: str) -> tuple[str, str]:
-        """A word's ids joined by commas, and what they decode to; remembered."""
-        if (known := self.ids.get(s)) is not None:
-            return known, self.decoded[s]
+        """A word's ids joined by commas, and what they decode to."""
+        stem = s.rstrip(MARKS)
+        if stem and stem != s and s[len(stem) - 1 : len(stem) + 1] not in self.inside:  # no entry crosses the cut
+            (a, b), (c, d) = self.part(stem), self.part(s[len(stem) :])
+            return f"{a},{c}", b + d
+        return self.part(s)
+
+    def part(self, s: str) -> tuple[str, str]:
+        if (known := self.stems.known.get(s)) is not None:
+            return known
         ids: list[int] = []
-        for k, part in enumerate(s.split("\n")):  # no entry holds a line end
-            ids += ([self.byte[10]] if k else []) + (self.word(part) if part else [])
+        for k, line in enumerate(s.split("\n")):  # no entry holds a line end
+            ids += ([self.byte[10]] if k else []) + (self.word(line) if line else [])
         got = ",".join(map(str, ids)), self.decode_part(ids)
         if len(s) <= 64:
-            if len(self.ids) >= CACHE_WORDS:
-                self.ids.clear()
-                self.decoded.clear()
-            self.ids[s], self.decoded[s] = got
+            self.stems.offer({s: got})
         return got
 
     def decode_part(self, ids: list[int]) -> str:
@@ -153,12 +162,17 @@ class PrefixEncoder:
             words = _WORDS.findall(MARK + text.replace(" ", MARK))
         else:
             words = [MARK + w for w in text.split(" ")]
-        look, ids, decoded = self.look, self.ids, self.decoded
-        try:
-            return ",".join([ids[w] for w in words]), "".join([decoded[w] for w in words])[1:]
-        except KeyError:
-            got = [look(w) for w in words]
-            return ",".join([x[0] for x in got]), "".join([x[1] for x in got])[1:]
+        known, new = self.words.known, {}
+        for w in set(words):
+            if w not in known:
+                new[w] = self.look(w)
+        if new:
+            got = [known[w] if w in known else new[w] for w in words]
+            self.words.offer({w: v for w, v in new.items() if len(w) <= 64})
+        else:
+            got = [known[w] for w in words]
+        ids, decoded = zip(*got, strict=True)
+        return ",".join(ids), "".join(decoded)[1:]
 
 
 def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
