@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding, spbpe, url_filters
+from . import chat, compression_quality, flac, packing, quality_rules, sharding, spbpe, suffix_dedup, url_filters
 
 SHARDS = [f"shard-{k:03d}" for k in range(96)]
 SLOTS = 65537
@@ -27,6 +27,33 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, SHARDS, SLOTS).select("doc_id", "n_bytes", "slot", "shard")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without 50-byte strings that start in a smaller one."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of control strings, formatted and read back."""
+    trap = "\\### Assistant: </turn> ok"
+    own = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", trap), (-7, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_conversations(own.unionByName(more), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a FLAC stream, decoded and described."""
+    return flac.described(flac.to_media(table(spark, sf_dir, "documents")))
+
+
+def op7_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; a third of the ids is held out from learning."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    model = compression_quality.fit(docs, labels, third != 1)
+    scored = compression_quality.score(docs, model)
+    return scored.select("doc_id", (third == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "difference")
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page judged against the list entries that hold when it was fetched.
 
@@ -64,6 +91,12 @@ def op9_spbpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spbpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics, base rules and verdict of every document."""
+    judged = quality_rules.apply(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "score")
+
+
 def sharding_sql() -> str:
     names = ", ".join(str(k) for k in sharding.fill_table(SHARDS, SLOTS).tolist())
     return f"""
@@ -90,5 +123,5 @@ m AS (SELECT p.page_id, i.entry, i.valid_from, row_number() OVER (PARTITION BY p
 SELECT p.page_id, p.host, p.fetched_at, coalesce(m.n, 0)::BIGINT AS n_matches, m.entry AS matched_host, m.valid_from AS listed_at, m.n IS NOT NULL AS blocked
 FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.rn = 1"""
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_sharding, op8_url_filters, op9_spbpe)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_sharding, op4_suffix_dedup, op5_chat, op6_flac, op7_compression_quality, op8_url_filters, op9_spbpe, op10_quality_rules)}
 ORACLES = {"op3_sharding": sharding_sql(), "op8_url_filters": URL_FILTERS_SQL}
