@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, compression_quality, flac, packing, quality_rules, sharding, spbpe, suffix_dedup, url_filters
+from . import chat, compression_quality, flac, near_dedup, packing, quality_rules, sharding, spbpe, suffix_dedup, url_filters
 
 SHARDS = [f"shard-{k:03d}" for k in range(96)]
 SLOTS = 65537
@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near-duplicates."""
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -123,5 +128,5 @@ m AS (SELECT p.page_id, i.entry, i.valid_from, row_number() OVER (PARTITION BY p
 SELECT p.page_id, p.host, p.fetched_at, coalesce(m.n, 0)::BIGINT AS n_matches, m.entry AS matched_host, m.valid_from AS listed_at, m.n IS NOT NULL AS blocked
 FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.rn = 1"""
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_sharding, op4_suffix_dedup, op5_chat, op6_flac, op7_compression_quality, op8_url_filters, op9_spbpe, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_packing, op3_sharding, op4_suffix_dedup, op5_chat, op6_flac, op7_compression_quality, op8_url_filters, op9_spbpe, op10_quality_rules)}
 ORACLES = {"op3_sharding": sharding_sql(), "op8_url_filters": URL_FILTERS_SQL}
