@@ -15,7 +15,9 @@ empty result. Repeated doc_id rows are packed each.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -27,38 +29,75 @@ from pyspark.sql import functions as F
 from .common import read_bytes, texts, write_table
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-#: Words kept in a worker's cache before it starts anew.
-CACHE_WORDS = 400_000
+#: Characters that may stand between pre-tokens; the first that is one token serves.
+SEPARATORS = "©®§♥☺→•"
+#: Pre-tokens that a worker remembers before it starts anew.
+CACHE_PARTS = 800_000
+#: The tokenizer's pattern for texts up to U+017F: letters, contractions, single digits, runs of other marks.
+_LETTERS, _DIGITS, _SPACE = "a-zA-Zªµº\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u017f", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
+_PRE = re.compile(f"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_DIGITS}]|[^{_SPACE}{_LETTERS}{_DIGITS}]+").findall
+_FAR = re.compile("[^\x00-\u012f\u0131-\u017f]")
 _state: dict = {}
 
 
+class Known(dict):
+    """Token bytes by pre-token; a key that is asked for in vain is noted."""
+
+    def __init__(self):
+        self.new: set[str] = set()
+
+    def __missing__(self, part: str) -> None:
+        self.new.add(part)
+
+
 class WordTokens:
-    """Token bytes of white-space separated words, each encoded once; the pre-tokenizer never joins over white space."""
+    """Token bytes of texts by their pre-tokens, each encoded once.
+
+    A text of letters up to U+017F is lower-cased and cut as the tokenizer's own pattern cuts it; in that range no letter's
+    normal form or lower case depends on its neighbours (the dotted capital I aside). Any other text is cut at white space
+    only, over which no token reaches.
+    """
 
     def __init__(self, blob: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_str(blob.decode()), {}
-
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.cache]
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = list(words)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
+        self.tokenizer, self.known = Tokenizer.from_str(blob.decode()), Known()
+        one = [(c, ids[0]) for c in SEPARATORS if len(ids := self.tokenizer.encode(c, add_special_tokens=False).ids) == 1]
+        self.mark, self.mark_id = one[0] if one else (None, None)
+
+    def encode(self, parts: list[str]) -> list[bytes]:
+        """Token bytes of pre-tokens; many go in one call, with a one-token mark between them that none of them holds."""
+        out: list[bytes] = []
+        for at in range(0, len(parts), 1024):
+            some = parts[at : at + 1024]
+            joined = f" {self.mark} ".join(some)
+            if self.mark and joined.count(self.mark) == len(some) - 1:
+                raw = array("I", self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids).tobytes()
+                cuts = (4 * np.flatnonzero(np.frombuffer(raw, "<u4") == self.mark_id)).tolist()
+                if len(cuts) == len(some) - 1:
+                    out += [raw[i:j] for i, j in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True)]
+                    continue
+            out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        return out
 
     def documents(self, batch: list[str]):
         """Little-endian 32-bit ids of each text."""
-        split = [t.replace("\n", " ").split(" ") for t in batch]
-        for at in range(0, len(split), 64):
-            group = split[at : at + 64]
-            self.learn(set().union(*group))
-            for words in group:
-                yield b"".join(map(self.cache.__getitem__, words))
+        known = self.known
+        for at in range(0, len(batch), 256):
+            group = [t.replace("\n", " ").split(" ") if "<|" in t or not t.isascii() and _FAR.search(t) else _PRE(t.lower()) for t in batch[at : at + 256]]
+            if len(known) > CACHE_PARTS:
+                known.clear()
+            found = [list(map(known.__getitem__, parts)) for parts in group]
+            new = list(known.new)
+            known.new.clear()
+            known.update(zip(new, self.encode(new), strict=True))
+            for parts, got in zip(group, found, strict=True):
+                k = -1
+                for _ in range(got.count(None)):
+                    k = got.index(None, k + 1)
+                    got[k] = known[parts[k]]
+                yield b"".join(got)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2) -> DataFrame:
@@ -90,14 +129,13 @@ def combinations(bins: int, depth: int = 3) -> np.ndarray:
     return np.array(out)
 
 
-def solve_nnls(patterns: np.ndarray, wanted: np.ndarray, rounds: int | None = None) -> np.ndarray:
+def solve_nnls(patterns: np.ndarray, wanted: np.ndarray, rounds: int = 200) -> np.ndarray:
     """min |A x - wanted|, x >= 0, by an active-set method; column j of A counts the bins of patterns[j]. wanted[0] is ignored."""
     bins, n = len(wanted), len(patterns)
     scale = max(1.0, float(wanted.max(initial=0)))
     goal = wanted / scale
     goal[0] = 0
     x, active = np.zeros(n), np.zeros(n, bool)
-    column = np.zeros((bins, n)) if n * bins <= 1 else None
 
     def matrix(at: np.ndarray) -> np.ndarray:
         a = np.zeros((bins, len(at)))
@@ -106,25 +144,27 @@ def solve_nnls(patterns: np.ndarray, wanted: np.ndarray, rounds: int | None = No
         a[0] = 0
         return a
 
-    del column
     usable = np.all(goal[patterns] + (patterns == 0) > 0, axis=1)  # a bin without pieces can't be used
-    for _ in range(rounds or 3 * bins):
+    off = np.inf
+    for _ in range(rounds):
         rest = goal.copy()
         at = np.flatnonzero(active)
         if len(at):
             rest -= matrix(at) @ x[at]
+        if off - (off := float(rest @ rest)) <= 1e-9 * off:
+            break  # no better than the round before
         gain = rest[patterns].sum(1)
         gain[active | ~usable] = -1
-        if gain.max(initial=-1) < 1e-7:
+        if gain.max(initial=-1) < 0.25 / scale:  # a quarter of a piece: rounding wouldn't see it
             break
         # several columns without a bin in common enter at once
-        taken, entered = np.zeros(bins, bool), 0
-        for j in np.argsort(-gain, kind="stable")[:64]:
+        taken, entered, enough = np.zeros(bins, bool), 0, 0.3 * gain.max()
+        for j in np.argsort(-gain, kind="stable")[:512]:
             own = patterns[j][patterns[j] > 0]
-            if gain[j] <= 0.5 * gain.max() or taken[own].any():
+            if gain[j] <= enough or taken[own].any():
                 continue
             taken[own], active[j], entered = True, True, entered + 1
-            if entered == 8:
+            if entered == 48:
                 break
         while True:
             at = np.flatnonzero(active)
