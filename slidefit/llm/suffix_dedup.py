@@ -10,13 +10,14 @@ positions at every length would cost many times the text, so positions drop out
 * The others go to round 2 with their rank pair (25, 25): sorting gives the smallest document of each 50-byte string. Whole
   documents are ranked too; exact copies need no positions.
 
-A chunk (documents by a hash of their id) sends each rank once, sorted, difference-coded and packed, to the task of its
-range, and gets back a bit per rank. However often a string occurs, a chunk sends it once: a hot passage or a huge group of
+A chunk (documents of an interval of ids) sends each rank once, sorted, difference-coded and packed, to the task of its
+range, and gets back a bit per rank: whether another chunk (round 1) or an earlier one (round 2) has it, which is all that
+has to be known of other documents. However often a string occurs, a chunk sends it once: a hot passage or a huge group of
 copies weighs as much as the number of chunks, and no occurrence lists exist. Ranks at 50 bytes are 64-bit fingerprints.
-The number of chunks and ranges is spark.sql.shuffle.partitions; set it so that a chunk's text is some 10 to 50 MB.
+There are spark.sql.shuffle.partitions ranges and twice as many chunks, with bounds from approximate percentiles of the ids.
 
 Null texts count as empty; texts under the length lose nothing; rows that share a doc_id don't remove one another's bytes;
-an empty table gives an empty result. Further columns may be carried along.
+rows without an id count as the largest; an empty table gives an empty result. Further columns may be carried along.
 """
 
 from __future__ import annotations
@@ -31,11 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LENGTH, HALF = 50, 25
+#: Stands for a missing id, after all others.
+LAST = 2**63 - 1
 #: Bytes of text ranked at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _U = np.uint64
 #: The bits of a sampled rank that are compared.
-_SENT = _U(2**64 - 2**16)
+_SENT = _U(2**64 - 2**20)
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -67,7 +70,7 @@ def rank_block(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     r8 = np.lib.stride_tricks.as_strided(raw, (n + 64, 8), (1, 1)).copy().view(">u8").ravel().astype(np.uint64)
     r16 = _pair(r8[: n + 40], r8[8 : n + 48])
     r25 = _pair(r16[: n + 30], r16[9 : n + 39])
-    key = r25[: n + LENGTH - HALF] | _U(1 << 16)  # samples are never 0
+    key = r25[: n + LENGTH - HALF] | _U(1 << 20)  # samples are never 0
     sample = _slide(key, LENGTH - HALF + 1, np.minimum)[:n] & _SENT
     sample[np.arange(n) + LENGTH > ends] = 0
     runs = np.flatnonzero(np.r_[True, sample[1:] != sample[:-1]]) if n else np.zeros(0, np.int64)
@@ -122,23 +125,20 @@ def _range_of(ranks: np.ndarray, ranges: int) -> np.ndarray:
     return ((ranks >> _U(32)) * _U(ranges)) >> _U(32)
 
 
-SENT = "to int, chunk int, keys binary, docs binary, whole binary, whole_docs binary"
+SENT = "to int, chunk int, keys binary, whole binary"
 BACK = "chunk int, origin int, round int, bits binary, whole_bits binary"
 
 
-def _send(chunk: int, ranks: np.ndarray, docs: np.ndarray | None, wholes=None) -> pd.DataFrame:
+def _send(chunk: int, ranks: np.ndarray, ranges: int, digests: np.ndarray | None = None) -> pd.DataFrame:
     """Sorted distinct ranks (and digests) cut by range."""
-    ranges = wholes[-1] if wholes else None
-    to = _range_of(ranks, ranges)
     rows = []
-    cuts = np.searchsorted(to, np.arange(ranges + 1))
-    digests, ids, _ = wholes if len(wholes) == 3 else (None, None, None)
-    wcuts = np.searchsorted(_range_of(digests[:, 0], ranges), np.arange(ranges + 1)) if digests is not None else np.zeros(ranges + 1, int)
+    cuts = np.searchsorted(_range_of(ranks, ranges), np.arange(ranges + 1))
+    more = np.searchsorted(_range_of(digests[:, 0], ranges), np.arange(ranges + 1)) if digests is not None else np.zeros(ranges + 1, int)
     for k in range(ranges):
-        a, b, c, d = cuts[k], cuts[k + 1], wcuts[k], wcuts[k + 1]
+        a, b, c, d = cuts[k], cuts[k + 1], more[k], more[k + 1]
         if a < b or c < d:
-            rows.append((k, chunk, _encode(ranks[a:b]), None if docs is None else zstandard.compress(docs[a:b].tobytes(), 1), digests[c:d].tobytes() if c < d else None, ids[c:d].tobytes() if c < d else None))
-    return pd.DataFrame(rows, columns=["to", "chunk", "keys", "docs", "whole", "whole_docs"])
+            rows.append((k, chunk, _encode(ranks[a:b]), digests[c:d].tobytes() if c < d else None))
+    return pd.DataFrame(rows, columns=["to", "chunk", "keys", "whole"])
 
 
 def _ask_samples(frame: pd.DataFrame, ranges: int) -> pd.DataFrame:
@@ -146,48 +146,35 @@ def _ask_samples(frame: pd.DataFrame, ranges: int) -> pd.DataFrame:
     found = [np.unique(sample) for _, _, _, _, sample, _ in c.samples()]
     ranks = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
     ranks = ranks[ranks > 0]
-    digests, ids, _ = c.wholes()
-    return _send(int(frame["chunk"].iloc[0]), ranks, None, (digests, ids, ranges))
+    return _send(int(frame["chunk"].iloc[0]), ranks, ranges, c.wholes()[0])
 
 
 def _sort_range(frame: pd.DataFrame, round_: int) -> pd.DataFrame:
-    """What one range's task does: sort all ranks, tell each chunk which of its ranks others have (round 1) or smaller documents have (round 2)."""
+    """What one range's task does: sort all ranks, tell each chunk which of its ranks others (round 1) or earlier chunks (round 2) have."""
     frame = frame.sort_values("chunk")
     keys = [_decode(b, np.uint64) for b in frame["keys"]]
     sizes = np.array([len(k) for k in keys])
     joined = np.concatenate(keys)
+    order = np.argsort(joined, kind="stable")  # chunks stay in order among equal ranks
+    ranked = joined[order]
+    same = ranked[1:] == ranked[:-1]
+    bits = np.zeros(len(joined), bool)
+    bits[order[1:][same]] = True
     if round_ == 1:
-        distinct, place, many = np.unique(joined, return_inverse=True, return_counts=True)
-        bits = many[place] > 1
-    else:
-        docs = np.concatenate([np.frombuffer(zstandard.decompress(b), np.int64) for b in frame["docs"]]) if len(joined) else np.zeros(0, np.int64)
-        bits = _smaller(joined, docs)
+        bits[order[:-1][same]] = True
+    del joined, ranked, order, keys
     whole = [np.frombuffer(b, np.uint64).reshape(-1, 2) if b is not None else np.zeros((0, 2), np.uint64) for b in frame["whole"]]
-    wids = [np.frombuffer(b, np.int64) if b is not None else np.zeros(0, np.int64) for b in frame["whole_docs"]]
-    wjoined, wsizes = np.concatenate(whole), np.array([len(w) for w in whole])
-    if len(wjoined):
-        _, place = np.unique(wjoined, axis=0, return_inverse=True)
-        wbits = _smaller(place.ravel(), np.concatenate(wids))
-    else:
-        wbits = np.zeros(0, bool)
-    ends, wends = np.cumsum(sizes), np.cumsum(wsizes)
+    both, many = np.concatenate(whole), np.array([len(w) for w in whole])
+    order = np.lexsort((np.repeat(np.arange(len(whole)), many), both[:, 1], both[:, 0]))
+    later = np.zeros(len(both), bool)
+    later[order[1:][(both[order[1:]] == both[order[:-1]]).all(1)]] = True
+    ends, more = np.cumsum(sizes), np.cumsum(many)
     return pd.DataFrame(
-        [(int(c), int(t), round_, np.packbits(bits[e - s : e]).tobytes(), np.packbits(wbits[we - ws : we]).tobytes()) for c, t, s, e, ws, we in zip(frame["chunk"], frame["to"], sizes, ends, wsizes, wends, strict=True)],
+        [(int(c), int(t), round_, np.packbits(bits[e - s : e]).tobytes(), np.packbits(later[w - m : w]).tobytes()) for c, t, s, e, m, w in zip(frame["chunk"], frame["to"], sizes, ends, many, more, strict=True)],
         columns=["chunk", "origin", "round", "bits", "whole_bits"],
     )
 
 
-def _smaller(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Whether a smaller document has the same key."""
-    order = np.lexsort((docs, keys))
-    k, d = keys[order], docs[order]
-    new = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, bool)
-    least = d[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))] if len(k) else d
-    out = np.zeros(len(k), bool)
-    out[order] = d > least
-    return out
-
-
 def _bits(back: pd.DataFrame, round_: int, column: str, keys: np.ndarray, ranges: int) -> np.ndarray:
     """Answers in the order of the sorted distinct keys that were sent."""
     out = np.zeros(len(keys), bool)
@@ -232,9 +219,9 @@ class Positions:
 
 def _ask_positions(frame: pd.DataFrame, back: pd.DataFrame, ranges: int) -> pd.DataFrame:
     if not len(frame):
-        return pd.DataFrame([], columns=["to", "chunk", "keys", "docs", "whole", "whole_docs"])
+        return pd.DataFrame([], columns=["to", "chunk", "keys", "whole"])
     p = Positions(Chunk(frame, ranges), back)
-    return _send(int(frame["chunk"].iloc[0]), p.distinct, p.least, (ranges,))
+    return _send(int(frame["chunk"].iloc[0]), p.distinct, ranges)
 
 
 def _remove(frame: pd.DataFrame, back: pd.DataFrame, ranges: int, columns: list[str], with_text: bool) -> pd.DataFrame:
@@ -283,8 +270,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     carry = carry or []
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), *[F.col(c).alias(f"carried_{c}") for c in carry])
-    text = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(ranges)).cast("int"))
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), *[F.col(c).alias(f"carried_{c}") for c in carry])
+    bounds = own.agg(F.percentile_approx("doc_id", [k / (2 * ranges) for k in range(1, 2 * ranges)], 20 * ranges)).first()[0]  # 2 * ranges numbers
+
+    @F.pandas_udf("int")
+    def chunk_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(np.unique(np.array(bounds or [], np.int64)), ids.to_numpy(np.int64), "right").astype(np.int32))
+
+    text = own.withColumn("chunk", chunk_of("doc_id"))
     fields = [T.StructField("doc_id", T.LongType())] + [f for f in own.schema.fields if f.name.startswith("carried_")]
     fields += [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())] + [T.StructField("kept_text", T.StringType())] * with_text
     names = [f.name for f in fields]
@@ -292,4 +285,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = by.applyInPandas(lambda f: _ask_samples(f, ranges), SENT).groupBy("to").applyInPandas(lambda f: _sort_range(f, 1), BACK)
     second = by.cogroup(first.groupBy("chunk")).applyInPandas(lambda f, b: _ask_positions(f, b, ranges), SENT).groupBy("to").applyInPandas(lambda f: _sort_range(f, 2), BACK)
     out = by.cogroup(first.unionByName(second).groupBy("chunk")).applyInPandas(lambda f, b: _remove(f, b, ranges, names, with_text), T.StructType(fields))
-    return out.select(*[F.col(n).alias(n.removeprefix("carried_")) for n in names])
+    return out.select(F.when(F.col("doc_id") < LAST, F.col("doc_id")).alias("doc_id"), *[F.col(n).alias(n.removeprefix("carried_")) for n in names[1:]])
