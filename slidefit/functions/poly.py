@@ -336,8 +336,10 @@ def mpoly_add(poly1, poly2) -> MPoly:
 
 
 def mpoly_multiply(poly1, poly2) -> MPoly:
-    """p1(x) p2(y), as factors."""
-    return MPoly((*poly1.coefs, *poly2.coefs), (*poly1.expos, *poly2.expos))
+    """p1(x) p2(y), as factors where both are products of a factor per variable."""
+    parts = [p.coefs_fac or (p.coefs if p.variable_count == 1 else None) for p in (poly1, poly2)]
+    coefs = (*parts[0], *parts[1]) if all(parts) else (np.kron(poly1.coefs[0], poly2.coefs[0]),)
+    return MPoly(coefs, (*poly1.expos, *poly2.expos))
 
 
 def mpoly_prod(polys) -> MPoly:
