@@ -117,3 +117,33 @@ def gram(model, segment, method: str = "auto") -> np.ndarray:
     if len(w) and np.linalg.cond(w) > 1e15:
         warnings.warn(f"condition number of W is {np.linalg.cond(w):.3g}", WConditionNumberWarning, stacklevel=2)
     return w
+
+
+def covariance_matrix_limited_sum(A, C, gamma, a, b, delta) -> np.ndarray:  # noqa: N803
+    return limited_sum(A, C, gamma, a, b, delta)
+
+
+def covariance_matrix_closed_form(A, C, gamma, a, b, delta) -> np.ndarray:  # noqa: N803
+    return stein(A, C, gamma, a, b, delta)
+
+
+def covariance_matrix_legendre(A, C, gamma, a, b, delta) -> np.ndarray:  # noqa: N803
+    return legendre_form(C, gamma, a, b, delta, len(A), np.asarray(A)[0, 1])
+
+
+def covariance_matrix_meixner(A, C, gamma, a, b, delta) -> np.ndarray:  # noqa: N803
+    """The diagonal for a window to infinity that starts where C is all ones; finite windows are summed."""
+    start = np.ravel(C) @ power(np.asarray(A, float), int(a))
+    if b == np.inf and np.allclose(start, 1):
+        return meixner_diagonal(len(A), gamma, a, delta)
+    return stein(A, C, gamma, a, b, delta) if b == np.inf else limited_sum(A, C, gamma, a, b, delta)
+
+
+def covariance_matrix_schur(A, C, gamma, a, b, delta, basis: str | None = None) -> np.ndarray:  # noqa: N803
+    """W of bare matrices; the structure is taken from basis or found out."""
+    finite = np.isfinite([a, b]).all()
+    if finite and (basis == "legendre" or basis is None and np.ndim(C) == 1 and is_legendre(A, C)):
+        return covariance_matrix_legendre(A, C, gamma, a, b, delta)
+    if b == np.inf and (basis == "meixner" or basis is None and is_meixner(A)):
+        return covariance_matrix_meixner(A, C, gamma, a, b, delta)
+    return limited_sum(A, C, gamma, a, b, delta) if finite and b - a <= DIRECT else stein(A, C, gamma, a, b, delta)

@@ -173,3 +173,28 @@ def test_small_things():
     with pytest.raises(ValueError):
         S(0, np.inf, "fw", 10)
     np.testing.assert_allclose(gram.kron_q([1.0, 2.0], 2), [1, 2, 2, 4])
+
+
+def test_gram_of_bare_matrices():
+    leg, mei = models.AlssmPolyLegendre(3, -6, 6), models.AlssmPolyMeixner(3, S(2, np.inf, "bw", 15))
+    s = S(-6, 6, "bw", 30)
+    want = gram.limited_sum(leg.A, leg.C, s.gamma, -6, 6, 0)
+    np.testing.assert_allclose(gram.covariance_matrix_schur(leg.A, leg.C, s.gamma, -6, 6, 0), want, rtol=1e-8, atol=1e-8)
+    np.testing.assert_allclose(gram.covariance_matrix_legendre(leg.A, leg.C, s.gamma, -6, 6, 0), want, rtol=1e-8, atol=1e-8)
+    w = gram.covariance_matrix_closed_form(mei.A, mei.C, mei.gamma, 2, np.inf, 0)
+    np.testing.assert_allclose(gram.covariance_matrix_schur(mei.A, mei.C, mei.gamma, 2, np.inf, 0), w, rtol=1e-6, atol=1e-6)
+    np.testing.assert_allclose(gram.covariance_matrix_meixner(mei.A, mei.C, mei.gamma, 2, 30, 0), gram.covariance_matrix_limited_sum(mei.A, mei.C, mei.gamma, 2, 30, 0))
+
+
+def test_profiling(capsys):
+    from slidefit.plans import profiling
+
+    f = profiling.profile(lambda n: sum(range(n)))
+    profiling.clear()
+    f(10)
+    assert not profiling.get_records()
+    profiling.enable()
+    f(200_000)
+    profiling.disable()
+    assert len(profiling.get_records()) == 1 and profiling.get_reliable_records(0.0) and "CPU" in profiling.report()
+    profiling.clear()
