@@ -195,6 +195,8 @@ def parse(stream: bytes) -> tuple[int, bytes, list[tuple[int, int, int, int]]]:
         raise ValueError("no FLAC stream")
     at, last, points, info = 4, False, b"", b""
     while not last:
+        if at + 4 > len(stream):
+            raise ValueError("metadata ends early")
         kind, size = stream[at] & 0x7F, int.from_bytes(stream[at + 1 : at + 4], "big")
         last = stream[at] >> 7 == 1
         if kind == 0:
@@ -202,6 +204,8 @@ def parse(stream: bytes) -> tuple[int, bytes, list[tuple[int, int, int, int]]]:
         elif kind == 3:
             points = stream[at + 4 : at + 4 + size]
         at += 4 + size
+    if len(info) < 34:
+        raise ValueError("no stream information")
     packed = int.from_bytes(info[10:18], "big")
     if packed >> 41 & 7 or packed >> 36 & 31 != 7:
         raise ValueError("only mono streams of 8 bits")
