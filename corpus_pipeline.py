@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slidefit.llm import compression_quality, near_dedup, packing, quality_rules, suffix_dedup
-from slidefit.llm.common import write_table
+from slidefit.llm.common import drop_table, write_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A score under it rejects a document; lower than one half, so that only clear cases go.
@@ -80,7 +80,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on documents, each written and read back."""
-    docs = _source(spark, sf_dir, "documents")
+    docs, before = _source(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = write_table(stage(spark, docs, sf_dir), name)
+        docs, path = write_table(stage(spark, docs, sf_dir), name)
+        if before:
+            drop_table(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
