@@ -547,10 +547,24 @@ def benchmark_window(spark, sf):
     return f.select("series_id", "k", (F.round(F.col("xi")[0], 5) + F.lit(0.0)).alias("xi0"), (F.round(F.col("xi")[1] / 10, 5) + F.lit(0.0)).alias("xi1"))
 
 
-@query()
+TWO_SIDED = costs.CompositeCost([models.AlssmPoly(1)], [Segment(-10, -1, "fw", 20), Segment(0, 10, "bw", 20)], np.ones((1, 2)))
+
+
+def _truncated_sql() -> str:
+    """The 2 x 2 normal equations of every truncated window in closed form; at the minimum J = kappa - xi'x."""
+    body, _ = weights_sql(TWO_SIDED)
+    return f"""WITH sig AS ({EVENTS}), r(j, g, r0, r1) AS (VALUES {body}),
+f AS (SELECT a.series_id, a.k, sum(b.y * b.y * r.g) AS kappa, sum(b.y * r.r0) AS p, sum(b.y * r.r1) AS q,
+             sum(CASE WHEN b.y IS NOT NULL THEN r.g END) AS w00, sum(CASE WHEN b.y IS NOT NULL THEN r.g * r.j END) AS w01, sum(CASE WHEN b.y IS NOT NULL THEN r.g * r.j * r.j END) AS w11
+      FROM sig a CROSS JOIN r LEFT JOIN sig b ON b.series_id = a.series_id AND b.k = a.k + r.j GROUP BY a.series_id, a.k),
+x AS (SELECT *, (w11 * p - w01 * q) / (w00 * w11 - w01 * w01) AS x0, (w00 * q - w01 * p) / (w00 * w11 - w01 * w01) AS x1 FROM f)
+SELECT series_id, k, {r_sql("x0", 5, "y_hat")}, {r_sql("kappa - p * x0 - q * x1", 5, "J")} FROM x"""
+
+
+@query(_truncated_sql())
 def timevarying_fit(spark, sf):
     """A line over truncated windows with a pseudo-inverse for every sample."""
-    return _fit(costs.CompositeCost([models.AlssmPoly(1)], [Segment(-10, -1, "fw", 20), Segment(0, 10, "bw", 20)], np.ones((1, 2))), events(spark, sf), steady_state=False)
+    return _fit(TWO_SIDED, events(spark, sf), steady_state=False)
 
 
 @query(f"{filter_sql(SMALL, EVENTS)}, s AS (SELECT *, {state_sql(Estimator(SMALL))} FROM f) SELECT series_id, k, fraction, {r_sql('x0 + fraction * x1', 5, 'y_hat')} FROM s CROSS JOIN (VALUES (0e0), (0.25e0), (0.5e0), (0.75e0)) t(fraction)")
