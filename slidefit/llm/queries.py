@@ -42,7 +42,8 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     trap = "\\### Assistant: </turn> ok"
     own = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     more = spark.createDataFrame([(-7, 0, "user", trap), (-7, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.format_conversations(own.unionByName(more), public_tokenizers.path("byte_bpe_50k.json")))
+    back = chat.read_back(chat.format_conversations(own.unionByName(more), public_tokenizers.path("byte_bpe_50k.json")))
+    return back.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
 def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,5 +129,28 @@ m AS (SELECT p.page_id, i.entry, i.valid_from, row_number() OVER (PARTITION BY p
 SELECT p.page_id, p.host, p.fetched_at, coalesce(m.n, 0)::BIGINT AS n_matches, m.entry AS matched_host, m.valid_from AS listed_at, m.n IS NOT NULL AS blocked
 FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.rn = 1"""
 
+SUFFIX_DEDUP_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, h, unnest(range(length(h) // 2)) AS p FROM d),
+s AS (SELECT doc_id, p, substr(h, 2 * p + 1, 2) AS byte, CASE WHEN 2 * p + 100 <= length(h) THEN md5(substr(h, 2 * p + 1, 100)) END AS key FROM b),
+m AS (SELECT key, min(doc_id) AS least FROM s WHERE key IS NOT NULL GROUP BY key),
+f AS (SELECT s.doc_id, s.p, s.byte, coalesce(m.least < s.doc_id, false) AS hit FROM s LEFT JOIN m ON s.key = m.key),
+c AS (SELECT doc_id, p, byte, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM f),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM c),
+r AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(byte, '' ORDER BY p) FILTER (NOT gone) AS kept FROM e GROUP BY doc_id)
+SELECT d.doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(r.n_removed, 0)::BIGINT AS n_removed, coalesce(r.n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(r.kept, ''))) AS kept_sha256
+FROM d LEFT JOIN r ON d.doc_id = r.doc_id"""
+
+CHAT_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, k, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(k, r)),
+e AS (SELECT *, length(replace(replace(replace(replace(role, '\', '\\'), '<turn>', '<\turn>'), '<says>', '<\says>'), '</turn>', '<\/turn>'))
+              + length(replace(replace(replace(replace(text, '\', '\\'), '<turn>', '<\turn>'), '<says>', '<\says>'), '</turn>', '<\/turn>')) AS n FROM t)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(n + length('<turn><says></turn>'))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id"""
+
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_packing, op3_sharding, op4_suffix_dedup, op5_chat, op6_flac, op7_compression_quality, op8_url_filters, op9_spbpe, op10_quality_rules)}
-ORACLES = {"op3_sharding": sharding_sql(), "op8_url_filters": URL_FILTERS_SQL}
+ORACLES = {"op4_suffix_dedup": SUFFIX_DEDUP_SQL, "op5_chat": CHAT_SQL, "op3_sharding": sharding_sql(), "op8_url_filters": URL_FILTERS_SQL}
