@@ -26,8 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a type in time order: series_id, k, y."""
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select(F.col("event_type").alias("series_id"), (F.row_number().over(w) - 1).cast("long").alias("k"), (F.col("value") / 100).alias("y"))
+    own = table(spark, sf_dir, "events").select(F.col("event_type").alias("series_id"), "ts", "event_id", (F.col("value") / 100).alias("y"))
+    # the same key as the fits', so that both share one exchange
+    w = Window.partitionBy("series_id").orderBy("ts", "event_id")
+    return own.select("series_id", (F.row_number().over(w) - 1).cast("long").alias("k"), "y")
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
