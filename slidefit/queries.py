@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import poly as pl
-from .operators import detect, placement
+from .operators import detect, localized, placement
 from .operators.estimator import Estimator
 from .operators.nd import NDEstimator
 from .operators.windowed import Term, windowed_sums
@@ -590,3 +590,24 @@ def plain_windowed_sum(spark, sf):
     t = Term("total", np.ones((1, 1)), np.ones(1), "y", -3, 4, 1.0, 0)
     out = windowed_sums(events(spark, sf), [t], ["series_id"])
     return out.select("series_id", "k", (F.round(F.col("total")[0], 6) + F.lit(0.0)).alias("total"))
+
+
+SHAPE, SHIFTS, STRETCHES = pl.Poly([1.0, -0.2, 0.05], [0, 1, 2]), [-3.0, -1.5, 0.0, 1.5, 3.0], [0.5, 1.0, 2.0]
+
+
+def _shift_sql() -> str:
+    e = Estimator(FIT2)
+    rows = ", ".join(f"({', '.join(_num(v) for v in (s, eta, *row, norm))})" for s, eta, row, norm in localized.grid(SHAPE, 3, -5, 5, SHIFTS, STRETCHES))
+    m = localized.metric(3, -5, 5)
+    own = " + ".join(f"x{i} * {linear_sql(m[i], 'x')}" for i in range(3))
+    return f"""{filter_sql(FIT2, EVENTS)}, s AS (SELECT *, {state_sql(e)} FROM f), g(shift, stretch, m0, m1, m2, norm) AS (VALUES {rows}),
+c AS (SELECT series_id, k, shift, stretch, {own} - pow(x0 * m0 + x1 * m1 + x2 * m2, 2) / norm AS cost, (x0 * m0 + x1 * m1 + x2 * m2) / norm AS amplitude FROM s CROSS JOIN g)
+SELECT series_id, k, {r_sql("min(cost)", 4, "cost")}, arg_min(shift, cost) AS shift, arg_min(stretch, cost) AS stretch, {r_sql("arg_min(amplitude, cost)", 4, "amplitude")} FROM c GROUP BY series_id, k"""
+
+
+@query(_shift_sql())
+def shift_estimation(spark, sf):
+    """Shift, stretch and amplitude at which a template polynomial is nearest to each local fit."""
+    e = Estimator(FIT2)
+    f = localized.best_match(e.minimize_x(e.filter(events(spark, sf))), "x", 3, SHAPE, (-5, 5), SHIFTS, STRETCHES)
+    return rounded(f.select("series_id", "k", "match.cost", "match.shift", "match.stretch", "match.amplitude"), 4, "cost", "amplitude")

@@ -198,3 +198,19 @@ def test_profiling(capsys):
     profiling.disable()
     assert len(profiling.get_records()) == 1 and profiling.get_reliable_records(0.0) and "CPU" in profiling.report()
     profiling.clear()
+
+
+def test_localized_polynomials(spark):
+    from slidefit.functions.poly import Poly
+    from slidefit.operators import localized
+
+    p, q = Poly([1.0, 2, -1, 0.5], [0, 1, 2, 3]), Poly([0.5, 1], [0, 1])
+    x = np.linspace(-1, 2, 20001)
+    assert localized.distance(p, q, -1, 2) == pytest.approx(np.trapezoid((p.eval(x) - q.eval(x)) ** 2, x), rel=1e-6)
+    r = localized.reduce_degree(p, 1, -1, 2)
+    assert localized.distance(p, r, -1, 2) <= min(localized.distance(p, Poly(r.coef + d, r.expo), -1, 2) for d in ([0.01, 0], [0, 0.01], [-0.01, 0], [0, -0.01]))
+    t = Poly([1.0, 0, 0.3], [0, 1, 2])
+    moved = [3.0 * v for v in (1 + 0.3 * 4, 2 * 0.3 * 4, 0.3 * 4)]  # 3 t(2 (x + 1))
+    df = spark.createDataFrame([(moved,)], "x array<double>")
+    m = localized.best_match(df, "x", 3, t, (-2, 2), [-1.0, 0.0, 1.0], [1.0, 2.0]).first().match
+    assert (m.shift, m.stretch) == (1.0, 2.0) and m.amplitude == pytest.approx(3) and abs(m.cost) < 1e-9
