@@ -25,13 +25,14 @@ from bisect import bisect_left
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_table, texts, write_table
 
 WORDS, SKETCHES, SIZE, SIMILARITY = 5, 20, 4, 0.8
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _WEIGHTS = np.array([0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
@@ -118,16 +119,14 @@ def _sketch_table(docs: DataFrame) -> DataFrame:
     def run(batches):
         seeds = _seeds()
         for b in batches:
-            ids, digests, data = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
-            at = 0
-            while at < len(ids):
-                to, size = at, 0
-                while to < len(ids) and size < BLOCK:
-                    size, to = size + len(data[to]), to + 1
-                grams, counts = kmers(data[at:to])
+            sizes, at = pc.binary_length(b.column(2)).to_numpy(zero_copy_only=False), 0
+            while at < len(sizes):
+                to = at + max(1, int(np.searchsorted(np.cumsum(sizes[at : at + 4096]), BLOCK)))
+                part = b.slice(at, to - at)
+                grams, counts = kmers(part.column(2).to_pylist())
                 ends = np.cumsum(counts)
                 rows = [sketches(grams[e - n : e], seeds).view(np.int64).tolist() if n else [] for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at:to], pa.int64()), pa.array(digests[at:to], pa.binary()), pa.array(counts, pa.int32()), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "digest", "n", "buckets"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts, pa.int32()), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "digest", "n", "buckets"])
                 at = to
 
     own = docs.select("doc_id", F.unhex(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32)).alias("digest"), F.lower("text").cast("binary").alias("words"))
@@ -175,7 +174,7 @@ def _sequences(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
-    """pairs (a, b) with their similarity."""
+    """pairs (a, b) of nodes, with the labels they have so far, and their similarity."""
 
     def run(frames):
         for f in frames:
@@ -184,14 +183,15 @@ def _verified(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame
                 a, b = np.unique(np.frombuffer(x, np.uint32), return_index=True), np.unique(np.frombuffer(y, np.uint32), return_index=True)
                 a, b = (v[0][np.argsort(v[1])] for v in (a, b))  # distinct as 32-bit numbers, in the order of the text
                 s.append(alike(a, b, least))
-            yield pd.DataFrame({"a": f["a"], "b": f["b"], "similarity": s})
+            yield pd.DataFrame({"a": f["a"], "b": f["b"], "la": f["la"], "lb": f["lb"], "similarity": s})
 
     both = pairs.join(sequences.select(F.col("node").alias("a"), F.col("seq").alias("seq_a")), "a").join(sequences.select(F.col("node").alias("b"), F.col("seq").alias("seq_b")), "b")
-    return both.select("a", "b", "seq_a", "seq_b").mapInPandas(run, "a long, b long, similarity double")
+    return both.select("a", "b", "la", "lb", "seq_a", "seq_b").mapInPandas(run, "a long, b long, la long, lb long, similarity double")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of each connected component. Labels spread over edges and jump to their label's label."""
+def components(edges: DataFrame) -> tuple[DataFrame, str]:
+    """(node, label) as a written table, and its path: the smallest node of each connected component. Labels spread over edges
+    and jump to their label's label."""
     spark = edges.sparkSession
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels, path = write_table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
@@ -204,10 +204,10 @@ def components(edges: DataFrame) -> DataFrame:
         drop_table(spark, path)
         labels, path = after.select("node", "label"), new_path
         if not changed:
-            return labels
+            return labels, path
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, rounds: int = 3) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, rounds: int = 2) -> DataFrame:
     """Per document: doc_id, class_id (the smallest id of its class), kept (the first of its class)."""
     own = texts(docs, id_col, text_col)
     table, _ = write_table(_sketch_table(own), "sketches")
@@ -216,25 +216,33 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     several = flat.groupBy("bucket").agg(held).where("nodes > 1").select("bucket")
     members, members_path = write_table(flat.join(several, "bucket", "left_semi").select("bucket", "node", "n"), "members")
     fits = (F.col("n") >= F.col("cn") * least) & (F.col("cn") >= F.col("n") * least)
-    sequences, _ = write_table(_sequences(own, members.select("node").distinct()), "sequences")
-    edges, tested, labels = None, None, None
+    sequences, sequences_path = write_table(_sequences(own, members.select("node").distinct()), "sequences")
+    tested, passing = None, [members_path, sequences_path]
+    labels, labels_path = write_table(members.select("node").distinct().withColumn("label", F.col("node")), "labels")
     for r in range(rounds):
-        if r == 0:
-            rows, draw = members.withColumn("label", F.col("node")), F.col("node")
-        else:
-            rows = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            draw = F.xxhash64("node", "bucket", F.lit(r))
+        rows = members.join(labels, "node")
+        draw = F.xxhash64("node", "bucket", F.lit(r)) if r else F.col("node")
         centre = F.min(F.struct(draw.alias("draw"), F.col("node").alias("centre"), F.col("n").alias("cn"), F.col("label").alias("clabel")))
         centres = rows.groupBy("bucket").agg(centre.alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket", "c.*")
-        found = rows.join(centres, "bucket").where(fits & (F.col("label") != F.col("clabel"))).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        near = rows.join(centres, "bucket").where(fits & (F.col("label") != F.col("clabel")))
+        found = near.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), F.least("label", "clabel").alias("la"), F.greatest("label", "clabel").alias("lb")).distinct()
         if tested is not None:
             found = found.join(tested, ["a", "b"], "left_anti")
-        checked, _ = write_table(_verified(found, sequences, least), "checked")
+        checked, path = write_table(_verified(found, sequences, least), "checked")
+        passing.append(path)
         tested = checked.select("a", "b") if tested is None else tested.union(checked.select("a", "b"))
-        good = checked.where(F.col("similarity") >= least).select("a", "b")
-        if r and not good.limit(1).count():
-            break
-        edges = good if edges is None else edges.union(good)
-        labels = components(edges)
+        links = checked.where(F.col("similarity") >= least).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+        if not links.limit(1).count():
+            continue
+        # components of what the round before left apart
+        joined, joined_path = components(links)
+        after, after_path = write_table(labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
+        for path in (joined_path, labels_path):
+            drop_table(own.sparkSession, path)
+        labels, labels_path = after, after_path
+    for path in passing:  # what is returned reads the sketches and labels only
+        drop_table(own.sparkSession, path)
     nodes = table.groupBy("digest").agg(F.min("doc_id").alias("node")).join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"))
+    # a table of its own, so that the many copies of one text are a side of the join that can be split
+    nodes, _ = write_table(nodes, "classes")
     return table.select("doc_id", "digest").join(nodes, "digest").select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
