@@ -6,7 +6,7 @@ from functools import reduce
 
 import numpy as np
 
-from .gram import gram
+from .gram import gram, warn_if_singular
 from .models import AlssmPoly, AlssmSum, ModelBase, power
 from .segments import Segment
 
@@ -50,7 +50,9 @@ class CostSegment:
         return self.alssm.get_state_var_indices(label)
 
     def get_steady_state_W(self, dim_order=None, method: str = "auto") -> np.ndarray:  # noqa: N802
-        return sum(beta * gram(m, s, method) for m, s, beta in self.cells())
+        w = sum(beta * gram(m, s, method, warn=False) for m, s, beta in self.cells())  # a segment alone may not see all states
+        warn_if_singular(w)
+        return w
 
     def output_rows(self, weights=None) -> np.ndarray:
         """C of all models joined, each scaled by its weight."""

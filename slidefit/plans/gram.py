@@ -96,7 +96,7 @@ def is_legendre(A, C=None, tol: float = 1e-10) -> bool:  # noqa: N803
     return bool(same and (C is None or np.allclose(np.ravel(C), legendre.legvander([np.ravel(C)[1]], n - 1)[0], atol=tol)))
 
 
-def gram(model, segment, method: str = "auto") -> np.ndarray:
+def gram(model, segment, method: str = "auto", warn: bool = True) -> np.ndarray:
     """W of a model over a segment. method: auto, schur (the same), closed_form (fixed point) or limited_sum."""
     A, C, s = model.A, model.C, segment  # noqa: N806
     finite = np.isfinite([s.a, s.b]).all()
@@ -114,11 +114,16 @@ def gram(model, segment, method: str = "auto") -> np.ndarray:
         w = limited_sum(A, C, s.gamma, s.a, s.b, s.delta)
     else:
         w = stein(A, C, s.gamma, s.a, s.b, s.delta)
-    if len(w) and np.linalg.cond(w) > 1e15:
-        warnings.warn(f"condition number of W is {np.linalg.cond(w):.3g}", WConditionNumberWarning, stacklevel=2)
+    if warn:
+        warn_if_singular(w)
     return w
 
 
+def warn_if_singular(w: np.ndarray) -> None:
+    if len(w) and np.linalg.cond(w) > 1e15:
+        warnings.warn(f"condition number of W is {np.linalg.cond(w):.3g}", WConditionNumberWarning, stacklevel=3)
+
+
 def covariance_matrix_limited_sum(A, C, gamma, a, b, delta) -> np.ndarray:  # noqa: N803
     return limited_sum(A, C, gamma, a, b, delta)
 
