@@ -102,6 +102,28 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, rows:
     return Model(good, bad, curve(x, np.array([1.0] * len(parts[1][1]) + [0.0] * len(parts[0][1]))))
 
 
+def _measures(m: Model, batch: list[bytes]) -> np.ndarray:
+    if _state.get("of") != (m.good, m.bad):
+        _state.update(of=(m.good, m.bad), sizes=Sizes(m.good, m.bad))
+    return np.array([_state["sizes"].measure(t or b"") for t in batch]).reshape(-1, 2)
+
+
+def keep(docs: DataFrame, model: Model | float, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, unchanged, whose score reaches the threshold; nothing is shuffled. A constant keeps all."""
+    if not isinstance(model, Model):
+        return docs
+    sent, column = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches):
+        m = sent.value
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                yield part.filter(pa.array(m.score(_measures(m, part.column(column).cast(pa.binary()).to_pylist())) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, difference and score of every document; nothing is shuffled."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
@@ -111,12 +133,10 @@ def score(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_co
 
     def run(batches):
         m = sent.value
-        if _state.get("of") != (m.good, m.bad):
-            _state.update(of=(m.good, m.bad), sizes=Sizes(m.good, m.bad))
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                x = np.array([_state["sizes"].measure(t) for t in part.column(1).to_pylist()])
+                x = _measures(m, part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x[:, 0]), pa.array(m.score(x))], names=["doc_id", "difference", "score"])
 
     return own.mapInArrow(run, "doc_id long, difference double, score double")

@@ -217,10 +217,30 @@ def judge(stats: DataFrame, trees: Trees | None, threshold: float = 0.5) -> Data
     return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.coalesce(F.col("score"), F.lit(1.0)) >= threshold))
 
 
-def apply(docs: DataFrame, labels: DataFrame, train: DataFrame | None = None) -> DataFrame:
-    """Statistics, score and verdict of every document. Trees are grown on train's labelled documents (docs' own by default)."""
+def fit_on(train: DataFrame, labels: DataFrame, rows: int = 20_000) -> Trees | None:
+    """Trees from train's labelled documents; only the sample's texts are read into statistics."""
+    ids = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).withColumn("draw", F.xxhash64("doc_id")).orderBy("draw").limit(rows).select("doc_id").distinct()
+    return fit(document_statistics(train.join(F.broadcast(ids), "doc_id", "left_semi")), labels, rows)
+
+
+def keep(docs: DataFrame, trees: Trees | None, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, unchanged, that the base rules and the trees let pass; counted and judged in one pass, nothing is shuffled."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, 512):
+                part = b.slice(k, 512)
+                s = pd.DataFrame([statistics(t or b"") for t in part.column(at).cast(pa.binary()).to_pylist()], columns=[*COUNTS, *MORE])
+                good = ~((s["n_words"] < 20) | (s["n_repeat_words"] * 100 > s["n_words"] * 30))
+                if trees is not None:
+                    good &= trees.probability(features(s)) >= threshold
+                yield part.filter(pa.array(good.to_numpy()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def apply(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Statistics, score and verdict of every document; the trees are grown on the labelled ones."""
     stats, _ = write_table(document_statistics(docs), "statistics")
-    if train is None:
-        return judge(stats, fit(stats, labels))
-    asked = train.join(F.broadcast(labels.select("doc_id").where("doc_id is not null").withColumn("draw", F.xxhash64(F.col("doc_id").cast("long"))).orderBy("draw").limit(20_000).select("doc_id").distinct()), "doc_id", "left_semi")
-    return judge(stats, fit(document_statistics(asked), labels))
+    return judge(stats, fit(stats, labels))
