@@ -12,8 +12,8 @@ return the columns of documents.
   some with an empty text; n_chars follows the text.
 * packing: the tokens of all texts packed into sequences of 4096.
 
-Rows without doc_id are kept by the filters' joins as they are judged like any other row; repeated ids share a verdict of
-near_dedup, so a repeated row stays with its first. An empty table passes through all stages.
+The filters judge every row by itself, whatever its id; repeated ids share a verdict of near_dedup, so a repeated row stays
+with its first, and rows without an id stay. An empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -36,17 +36,14 @@ def _source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the trees."""
-    judged = quality_rules.apply(docs, _source(spark, sf_dir, "labels"), _source(spark, sf_dir, "documents"))
-    gone = judged.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    trees = quality_rules.fit_on(_source(spark, sf_dir, "documents"), _source(spark, sf_dir, "labels"))
+    return quality_rules.keep(docs.select(*COLUMNS), trees)
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier doesn't reject."""
     model = compression_quality.fit(_source(spark, sf_dir, "documents"), _source(spark, sf_dir, "labels"))
-    scores, _ = write_table(compression_quality.score(docs, model), "scores")
-    gone = scores.where(F.col("score") < CLASSIFIER_THRESHOLD).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return compression_quality.keep(docs.select(*COLUMNS), model, CLASSIFIER_THRESHOLD)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
