@@ -23,7 +23,7 @@ from .common import Memory, read_bytes, texts
 
 MARK = "▁"
 #: Entries of a worker's memories before they start anew.
-CACHE_WORDS, CACHE_STEMS, CACHE_PAIRS = 300_000, 600_000, 1_000_000
+CACHE_WORDS, CACHE_STEMS, CACHE_PAIRS = 400_000, 1_100_000, 1_000_000
 #: Marks that words often end with.
 MARKS = ".,!%&#$*|?;:"
 START = 0xFFFF
@@ -121,8 +121,16 @@ class PrefixEncoder:
             at -= size[at]
         return out[::-1]
 
-    def look(self, s: str) -> tuple[str, str]:
-        """A word's ids joined by commas, and what they decode to."""
+    def look(self, key: str) -> tuple[str, str]:
+        """Ids joined by commas, and what they decode to, of a word: after a line end or its own marks, or else after one mark."""
+        if key[:1] == MARK:
+            return self.look_word(key)
+        if key[:1] == "\n":
+            ids, text = self.look_word(key[1:]) if len(key) > 1 else ("", "")
+            return f"{self.byte[10]},{ids}" if ids else str(self.byte[10]), "\n" + text
+        return self.look_word(MARK + key)
+
+    def look_word(self, s: str) -> tuple[str, str]:
         stem = s.rstrip(MARKS)
         if stem and stem != s and s[len(stem) - 1 : len(stem) + 1] not in self.inside:  # no entry crosses the cut
             (a, b), (c, d) = self.part(stem), self.part(s[len(stem) :])
@@ -160,19 +168,29 @@ class PrefixEncoder:
             return "", ""
         if "  " in text or text[0] == " " or MARK in text:
             words = _WORDS.findall(MARK + text.replace(" ", MARK))
-        else:
-            words = [MARK + w for w in text.split(" ")]
-        known, new = self.words.known, {}
-        for w in set(words):
-            if w not in known:
-                new[w] = self.look(w)
-        if new:
-            got = [known[w] if w in known else new[w] for w in words]
+        else:  # a line end begins a word, too: no entry holds one
+            words = text.replace("\n", " \n").split(" ")
+        got, odd = list(map(self.words.known.get, words)), False
+        if missing := got.count(None):
+            new, k = {}, -1
+            for _ in range(missing):
+                k = got.index(None, k + 1)
+                w = words[k]
+                if (v := new.get(w)) is None:
+                    v, back = self.look(w)
+                    if back == spoken(w):
+                        new[w] = v
+                    else:
+                        odd = True
+                got[k] = v
             self.words.offer({w: v for w, v in new.items() if len(w) <= 64})
-        else:
-            got = [known[w] for w in words]
-        ids, decoded = zip(*got, strict=True)
-        return ",".join(ids), "".join(decoded)[1:]
+        # words that are remembered decode to themselves, so a text of such words does
+        return ",".join(got), "".join([self.look(w)[1] for w in words])[1:] if odd else text.replace(MARK, " ")
+
+
+def spoken(key: str) -> str:
+    """What a word's key stands for in the text, with the space before it."""
+    return key.replace(MARK, " ") if key[:1] == MARK else key if key[:1] == "\n" else " " + key
 
 
 def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
