@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions import arrays as la
 from ..plans.gram import WConditionNumberWarning
-from .windowed import Term, windowed_sums
+from .windowed import BLOCK, Term, windowed_sums
 
 SOLVERS = ("lstsq", "solve", "inv")
 OUTPUTS = ("y_hat", "x", "v")
@@ -49,7 +49,7 @@ class Estimator:
     of a set are further keys). w: sample weights, 1 if not given. dense, block and strategy: see windowed_sums.
     """
 
-    def __init__(self, cost, steady_state: bool = True, steady_state_method: str = "auto", keys=("series_id",), order: str = "k", y: str = "y", w: str | None = None, strategy: str = "auto", dense: bool = True, block: int | None = None, calc=("xi", "kappa", "nu", "W")):
+    def __init__(self, cost, steady_state: bool = True, steady_state_method: str = "auto", keys=("series_id",), order: str = "k", y: str = "y", w: str | None = None, strategy: str = "auto", dense: bool = True, block: int | None = BLOCK, calc=("xi", "kappa", "nu", "W")):
         self.cost, self.steady, self.keys, self.order, self.y, self.w = cost, steady_state, list(keys), order, y, w
         self.strategy, self.dense, self.block, self.calc, self.method = strategy, dense, block, tuple(calc), steady_state_method
         self.n = cost.get_alssm_order()

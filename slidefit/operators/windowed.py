@@ -27,11 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import arrays as la
-from ..plans.models import power
+from ..plans.models import block_diagonal, power
 
 STRATEGIES = ("auto", "shift", "doubling", "fold", "explode", "scan")
 #: Finite windows up to this length take a lag per offset.
 SHIFT_LENGTH = 48
+#: Samples of a series that one task takes at most; of an infinite window's recursion.
+BLOCK, SCAN_BLOCK = 1 << 20, 1 << 14
 
 
 @dataclass(frozen=True)
@@ -71,10 +73,11 @@ def choose(terms: list[Term], dense: bool) -> str:
     return "shift" if max(t.b - t.a for t in terms) < SHIFT_LENGTH else "doubling"
 
 
-def windowed_sums(df: DataFrame, terms: list[Term], keys: list[str], order: str = "k", strategy: str = "auto", dense: bool = True, block: int | None = None) -> DataFrame:
+def windowed_sums(df: DataFrame, terms: list[Term], keys: list[str], order: str = "k", strategy: str = "auto", dense: bool = True, block: int | None = BLOCK) -> DataFrame:
     """df with an array<double> column for each name; terms of one name (the segments of a cost) add up.
 
     dense: every series' order column counts 0, 1, 2, ... without gaps or repeats. Otherwise fold finds neighbours by value.
+    block: samples of a series that one task takes at most; None leaves series whole.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
@@ -84,19 +87,28 @@ def windowed_sums(df: DataFrame, terms: list[Term], keys: list[str], order: str
     if chosen != "scan" and not all(t.finite for t in terms):
         raise ValueError("an infinite side needs the scan strategy")
     names = list(dict.fromkeys(t.name for t in terms))
+    if chosen == "scan" and block:
+        return _scan_apart(df, terms, keys, order, dense, block).select(*df.columns, *names)
     if block and chosen in ("shift", "doubling", "fold"):
         before, after = max(0, int(-min(t.a for t in terms))), max(0, int(max(t.b for t in terms)))
-        cut = with_halo(df, order, block, before, after)
+        cut = with_halo(df, order, max(block, 2 * (before + after)), before, after)
         out = _RUN[chosen](cut, terms, [*keys, "_block"], order)
         return out.where("_own").select(*df.columns, *names)
     return _RUN[chosen](df, terms, keys, order).select(*df.columns, *names)
 
 
 def with_halo(df: DataFrame, order: str, block: int, before: int, after: int) -> DataFrame:
-    """Rows dealt to blocks of that many samples, and copied to neighbours whose windows reach them; _own marks the originals."""
-    k, mine = F.col(order), F.floor(F.col(order) / block)
-    blocks = F.sequence(F.floor((k - after) / block), F.floor((k + before) / block))
-    return df.withColumn("_block", F.explode(blocks)).withColumn("_own", F.col("_block") == mine)
+    """Rows dealt to blocks of that many samples, and copied to the neighbour whose windows reach them; _own marks the originals.
+
+    block must be at least before + after, so that a sample has one such neighbour at most.
+    """
+    k, size = F.col(order), F.lit(int(block)).cast("long")
+    place = F.pmod(k, size)
+    mine = ((k - place) / size).cast("long")
+    cut = df.withColumn("_mine", mine)
+    own = F.col("_mine")
+    reach = F.when(place < after, F.array(own - 1, own)).when(place >= block - before, F.array(own, own + 1)).otherwise(F.array(own))
+    return cut.withColumn("_block", F.explode(reach)).withColumn("_own", F.col("_block") == own).drop("_mine")
 
 
 def _sum(parts: list[Column]) -> Column:
@@ -266,33 +278,65 @@ def _scan(df: DataFrame, terms: list[Term], keys: list[str], order: str) -> Data
 _RUN = {"shift": _shift, "doubling": _doubling, "fold": _fold, "explode": _explode, "scan": _scan}
 
 
-def scan_blocks(df: DataFrame, term: Term, keys: list[str], order: str = "k", block: int = 1 << 16) -> DataFrame:
-    """One sum with an infinite side over series too long for a task: blocks are scanned apart, their final states are
-    carried over blocks (one small row each), and each sample adds what its block was handed.
+def _scan_apart(df: DataFrame, terms: list[Term], keys: list[str], order: str, dense: bool, block: int) -> DataFrame:
+    """Infinite windows one after another by blocks, finite ones by their own strategy; parts of one name are added."""
+    out, parts, groups = df, {}, {}
+    for t in terms:
+        groups.setdefault((t.a, t.b, t.gamma, t.delta) if not t.finite else None, []).append(t)
+    for g, (window, own) in enumerate(groups.items()):
+        merged: dict[tuple, Term] = {}
+        for i, t in enumerate(own):
+            parts.setdefault(t.name, []).append(f"_g{g}_{i}")
+            merged[g, i] = Term(f"_g{g}_{i}", t.transition, t.output, t.value, t.a, t.b, t.gamma, t.delta, t.scale)
+        renamed = list(merged.values())
+        out = windowed_sums(out, renamed, keys, order, "auto", dense, block) if window is None else scan_blocks(out, renamed, keys, order, min(block, SCAN_BLOCK))
+    for name, columns in parts.items():
+        total = F.col(columns[0])
+        for c in columns[1:]:
+            total = la.add(total, F.col(c))
+        out = out.withColumn(name, total)
+    return out
+
 
-    The finite end of the window must not reach across the anchor by more than a block.
+def scan_blocks(df: DataFrame, terms: list[Term], keys: list[str], order: str = "k", block: int = 1 << 14) -> DataFrame:
+    """Sums over one window with an infinite side: blocks of a series are scanned apart, their final states are carried over
+    blocks (one small row each), and each sample adds what its block was handed. df with a column for each term.
     """
-    ahead = term.b == np.inf
-    if term.finite:
-        raise ValueError("finite windows are cut with a halo instead")
-    edge = int(term.a if ahead else term.b)
-    reach = abs(edge)
-    cut = with_halo(df, order, block, reach, reach)
-    schema = T.StructType([*cut.schema.fields, T.StructField("_local", T.ArrayType(T.DoubleType())), T.StructField("_out", T.ArrayType(T.DoubleType()))])
-    columns, size = cut.columns, block
-    name, step = term.name, (term.gamma * term.transition.T if ahead else power(term.transition, -1).T / term.gamma)
+    first = terms[0]
+    if first.finite or any((t.a, t.b, t.gamma, t.delta) != (first.a, first.b, first.gamma, first.delta) for t in terms):
+        raise ValueError("blocks are scanned for terms of one window with an infinite side")
+    ahead = first.b == np.inf
+    edge = int(first.a if ahead else first.b)
+    size = max(block, 2 * abs(edge) + 1)
+    step = block_diagonal([t.gamma * t.transition.T if ahead else power(t.transition, -1).T / t.gamma for t in terms])
+    rows, cuts = [t.row(edge) for t in terms], np.cumsum([0] + [t.n for t in terms])
+    cut = with_halo(df, order, size, max(0, -edge), max(0, edge))
+    arrays = T.ArrayType(T.DoubleType())
+    schema = T.StructType([*cut.schema.fields, T.StructField("_local", arrays), T.StructField("_out", arrays)])
+    columns, values, names = cut.columns, [t.value for t in terms], [t.name for t in terms]
 
     def local(frame: pd.DataFrame) -> pd.DataFrame:
-        """Samples k + edge inside the block enter; a block's state sums what entered in it, seen from its far end."""
+        """Samples at k + edge enter where k is in the block; the last state is what the block hands on."""
         f = frame.sort_values(order, kind="stable").reset_index(drop=True)
-        b = int(f["_block"].iloc[0])
-        lo = b * size
+        lo = int(f["_block"].iloc[0]) * size
         k = f[order].to_numpy(np.int64)
-        values = dict(zip(k.tolist(), np.nan_to_num(f[term.value].to_numpy(float)).tolist(), strict=True))
-        state, states, row = np.zeros(term.n), {}, term.row(edge)
-        for x in range(lo + size - 1, lo - 1, -1) if ahead else range(lo, lo + size):
-            state = step @ state + row * values.get(x + edge, 0.0)
-            states[x] = state
+        v = np.nan_to_num(f[values].to_numpy(float))
+        entering: dict[int, np.ndarray] = {}
+        for at, x in zip((k - edge).tolist(), v, strict=True):
+            if lo <= at < lo + size:
+                e = np.concatenate([r * c for r, c in zip(rows, x, strict=True)])
+                entering[at] = entering[at] + e if at in entering else e
+        wanted = [x for x in k.tolist() if lo <= x < lo + size]
+        seen = [*entering, *wanted]
+        state, states = np.zeros(len(step)), {}
+        if seen:
+            start, stop = min(seen), max(seen)
+            for x in range(stop, start - 1, -1) if ahead else range(start, stop + 1):
+                state = step @ state
+                if x in entering:
+                    state = state + entering[x]
+                states[x] = state
+            state = np.linalg.matrix_power(step, start - lo if ahead else lo + size - 1 - stop) @ state
         f["_local"] = [states.get(x) for x in k.tolist()]
         f["_out"] = [state] * len(f)
         return f[[*columns, "_local", "_out"]]
@@ -300,11 +344,11 @@ def scan_blocks(df: DataFrame, term: Term, keys: list[str], order: str = "k", bl
     scanned = cut.groupBy(*keys, "_block").applyInPandas(local, schema)
     ends = scanned.groupBy(*keys, "_block").agg(F.first("_out").alias("_out"))
     whole = np.linalg.matrix_power(step, size)
-    carried_schema = T.StructType([*[df.schema[c] for c in keys], T.StructField("_block", T.LongType()), T.StructField("_in", T.ArrayType(T.DoubleType()))])
+    carried = T.StructType([*[df.schema[c] for c in keys], T.StructField("_block", T.LongType()), T.StructField("_in", arrays)])
 
     def carry(frame: pd.DataFrame) -> pd.DataFrame:
         f = frame.sort_values("_block", ascending=not ahead)
-        state, last, out = np.zeros(term.n), None, []
+        state, last, out = np.zeros(len(step)), None, []
         for at, entered in zip(f["_block"].tolist(), f["_out"].tolist(), strict=True):
             if last is not None and abs(at - last) > 1:  # blocks without samples only age the state
                 state = np.linalg.matrix_power(whole, abs(at - last) - 1) @ state
@@ -314,23 +358,29 @@ def scan_blocks(df: DataFrame, term: Term, keys: list[str], order: str = "k", bl
         f["_in"] = out
         return f
 
-    handed = ends.select(*keys, F.col("_block").cast("long").alias("_block"), "_out").groupBy(*keys).applyInPandas(carry, carried_schema)
+    handed = ends.select(*keys, F.col("_block").cast("long").alias("_block"), "_out").groupBy(*keys).applyInPandas(carry, carried)
     own = scanned.where("_own").join(handed, [*keys, "_block"])
-    # from the handed state to the sample: as many steps as lie between
-    schema2 = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
-    final = df.columns
+    final, result = df.columns, T.StructType([*df.schema.fields, *[T.StructField(n, arrays) for n in names]])
 
     def finish(frames):
-        powers = [np.linalg.matrix_power(step, 1)]
-        for _ in range(size - 1):
-            powers.append(step @ powers[-1])
-        stack = np.stack(powers)
+        """The handed state has as many steps to go as lie between the block's beginning and the sample."""
+        powers: dict[int, np.ndarray] = {}
         for f in frames:
             k = f[order].to_numpy(np.int64) - f["_block"].to_numpy(np.int64) * size
-            steps = size - 1 - k if ahead else k
-            inn = np.stack(f["_in"].to_numpy()) if len(f) else np.zeros((0, term.n))
-            loc = np.stack(f["_local"].to_numpy()) if len(f) else np.zeros((0, term.n))
-            f[name] = list(loc + np.einsum("kij,kj->ki", stack[steps], inn)) if len(f) else []
-            yield f[[*final, name]]
-
-    return own.mapInPandas(finish, schema2)
+            steps = size - k if ahead else k + 1
+            out = np.stack(f["_local"].to_numpy()) if len(f) else np.zeros((0, len(step)))
+            inn = np.stack(f["_in"].to_numpy()) if len(f) else out
+            moved = np.flatnonzero(inn.any(1))
+            for n in np.unique(steps[moved]).tolist():
+                if n not in powers:
+                    powers[n] = step @ powers[n - 1] if n - 1 in powers else np.linalg.matrix_power(step, n)
+                at = moved[steps[moved] == n] if len(moved) < 64 else None
+                if at is not None:
+                    out[at] += inn[at] @ powers[n].T
+            if len(moved) >= 64:
+                out[moved] += np.einsum("kij,kj->ki", np.stack([powers[n] for n in steps[moved].tolist()]), inn[moved])
+            for i, n in enumerate(names):
+                f[n] = list(out[:, cuts[i] : cuts[i + 1]])
+            yield f[[*final, *names]]
+
+    return own.mapInPandas(finish, result)

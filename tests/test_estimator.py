@@ -75,8 +75,16 @@ def test_infinite_windows(spark):
                     want[k] += s.gamma ** (i - k) * m.output_row(i - k) * y[i]
         got = [r.xi for r in Estimator(costs.CostSegment(m, s)).filter(df).orderBy("k").collect()]
         np.testing.assert_allclose(got, want, atol=1e-8)
-        blocks = scan_blocks(df, Term("xi", m.A, m.C, "y", s.a, s.b, s.gamma, 0), ["series_id"], block=64)
+        for block in (64, None):
+            whole = Estimator(costs.CostSegment(m, s), block=block).filter(df).orderBy("k").collect()
+            np.testing.assert_allclose([r.xi for r in whole], want, atol=1e-8)
+        blocks = scan_blocks(df, [Term("xi", m.A, m.C, "y", s.a, s.b, s.gamma, 0)], ["series_id"], block=64)
         np.testing.assert_allclose([r.xi for r in blocks.orderBy("k").collect()], want, atol=1e-8)
+    two = costs.CompositeCost([m], [S(-np.inf, -1, "fw", 8), S(0, 5, "bw", 8), S(6, np.inf, "bw", 9)], np.ones((1, 3)))
+    got, want = ([(*r.xi, r.kappa, r.nu) for r in Estimator(two, block=b, dense=False).filter(df.where("k % 7 <> 3")).orderBy("k").collect()] for b in (32, None))
+    np.testing.assert_allclose(got, want, atol=1e-8)
+    with pytest.raises(ValueError):
+        scan_blocks(df, [Term("xi", m.A, m.C, "y", -3, 3, 1.0, 0)], ["series_id"])
 
 
 def test_gaps_and_nulls(spark):
