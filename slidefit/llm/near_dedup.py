@@ -15,7 +15,8 @@ matches, and the similarity m / (n1 + n2 - m) must reach 0.8. Verified links are
 propagation over written tables; a component's smallest id is its class.
 
 Null texts count as empty. Texts of fewer than five words have one k-mer of all their words; texts without words are alike
-only as exact copies. Equal texts always share a class, so do rows that share an id. An empty table gives an empty result.
+only as exact copies. Equal texts always share a class, so do rows that share an id; a row without an id has the
+class of an equal text that has one, or none. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -140,3 +140,9 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.node: r.label for r in near_dedup.components(edges)[0].collect()}
     assert all(got[i] == 0 for i in range(41)) and got[101] == 100
+
+
+def test_rows_without_an_id(spark):
+    df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (None, "quite another text of seven words")], "doc_id long, text string")
+    rows = sorted((r.class_id or 0, r.doc_id or 0, bool(r.kept)) for r in near_dedup.classes(df).collect())
+    assert rows == [(0, 0, False), (1, 0, False), (1, 1, True)]
