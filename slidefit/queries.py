@@ -296,7 +296,15 @@ def pulse_detection(spark, sf):
     return rounded(f.select("series_id", "k", F.col("x1")[2].alias("height"), "lcr"), 4, "height", "lcr")
 
 
-@query()
+PEAKS_SQL = f"""{_edge_sql().replace("WITH ", "WITH RECURSIVE ", 1)},
+n AS (SELECT *, lag(lcr) OVER (PARTITION BY series_id ORDER BY k) AS l0, lead(lcr) OVER (PARTITION BY series_id ORDER BY k) AS l1 FROM l),
+c AS (SELECT series_id, list({{'k': k, 'lcr': lcr}} ORDER BY lcr DESC, k DESC) AS p FROM n WHERE l0 < lcr AND l1 < lcr AND lcr >= 0.01 GROUP BY series_id),
+g AS (SELECT series_id, p[1] AS top, list_filter(p[2:], lambda x: abs(x.k - p[1].k) >= 30) AS rest FROM c
+      UNION ALL SELECT series_id, rest[1], list_filter(rest[2:], lambda x: abs(x.k - rest[1].k) >= 30) FROM g WHERE len(rest) > 0)
+SELECT series_id, top.k AS k, {r_sql("top.lcr", 4, "lcr")} FROM g"""
+
+
+@query(PEAKS_SQL)
 def find_peaks(spark, sf):
     """Peaks of the onset score, 30 samples apart at least."""
     return rounded(detect.find_peaks(edges(spark, sf), "lcr", height=0.01, distance=30), 4, "lcr")
