@@ -171,10 +171,9 @@ class PrefixEncoder:
         else:  # a line end begins a word, too: no entry holds one
             words = text.replace("\n", " \n").split(" ")
         got, odd = list(map(self.words.known.get, words)), False
-        if missing := got.count(None):
-            new, k = {}, -1
-            for _ in range(missing):
-                k = got.index(None, k + 1)
+        if missing := [k for k, v in enumerate(got) if v is None]:
+            new = {}
+            for k in missing:
                 w = words[k]
                 if (v := new.get(w)) is None:
                     v, back = self.look(w)
