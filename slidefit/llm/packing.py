@@ -33,10 +33,23 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 SEPARATORS = "©®§♥☺→•"
 #: Pre-tokens that a worker remembers before it starts anew.
 CACHE_PARTS = 800_000
-#: The tokenizer's pattern for texts up to U+017F: letters, contractions, single digits, runs of other marks.
-_LETTERS, _DIGITS, _SPACE = "a-zA-Zªµº\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u017f", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
-_PRE = re.compile(f"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_DIGITS}]|[^{_SPACE}{_LETTERS}{_DIGITS}]+").findall
+#: The tokenizer's pattern for lower-case texts up to U+00FF and U+017F: letters, contractions, single digits, runs of other marks.
+_LETTERS, _DIGITS, _SPACE = "a-zA-Zªµº\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
+_NEAR, _WIDE = (re.compile(f"[{_LETTERS}{more}]+|'(?:s|t|re|ve|m|ll|d)|[{_DIGITS}]|[^{_SPACE}{_LETTERS}{more}{_DIGITS}]+").findall for more in ("", "\\u0100-\\u017f"))
 _FAR = re.compile("[^\x00-\u012f\u0131-\u017f]")
+
+
+def pre_tokens(t: str) -> list[str]:
+    """Parts over whose ends no token reaches."""
+    if "<|" in t:  # may hold a control string, which the tokenizer takes as it is
+        return t.replace("\n", " ").split(" ")
+    try:
+        t.encode("latin-1")  # far faster than a search for characters
+        return _NEAR(t.lower())
+    except UnicodeEncodeError:
+        return t.replace("\n", " ").split(" ") if _FAR.search(t) else _WIDE(t.lower())
+
+
 _state: dict = {}
 
 
@@ -85,7 +98,7 @@ class WordTokens:
         """Little-endian 32-bit ids of each text."""
         known = self.known
         for at in range(0, len(batch), 256):
-            group = [t.replace("\n", " ").split(" ") if "<|" in t or not t.isascii() and _FAR.search(t) else _PRE(t.lower()) for t in batch[at : at + 256]]
+            group = [pre_tokens(t) for t in batch[at : at + 256]]
             if len(known) > CACHE_PARTS:
                 known.clear()
             found = [list(map(known.__getitem__, parts)) for parts in group]
@@ -93,9 +106,7 @@ class WordTokens:
             known.new.clear()
             known.update(zip(new, self.encode(new), strict=True))
             for parts, got in zip(group, found, strict=True):
-                k = -1
-                for _ in range(got.count(None)):
-                    k = got.index(None, k + 1)
+                for k in [k for k, ids in enumerate(got) if ids is None]:
                     got[k] = known[parts[k]]
                 yield b"".join(got)
 
