@@ -5,9 +5,11 @@ occurrence (first, second, ...), so all labelled k-mers of a text differ. A sket
 of 20 hash functions, in the order in which they stand in the text: texts that share the k-mers in another order don't
 share the sketch. Texts with a sketch in common are candidates.
 
-Buckets never expand into all pairs. Exact copies are one node. Every bucket compares its nodes with one centre (round 1:
-the smallest id; later rounds: one drawn by a hash, among nodes of buckets that still hold several components), so the
-candidates are linear in the rows, and a pair that one centre misses meets others in its further buckets.
+Exact copies are one node. Every bucket first compares its nodes with one centre (round 1: the smallest id; later rounds:
+one drawn by a hash, among nodes of buckets that still hold several components), which is linear in the rows. What buckets
+with several components then hold is joined exactly: of the k-mers in one order for all texts, rare ones first, the first
+n - 0.8 n + 1 of a text must meet those of any text at 0.8 or more, at places within the band and with enough k-mers after
+them. All pairs of different components that meet so are verified, so no pair that shares a sketch is left out.
 
 Verification aligns the two k-mer sequences: matches outside the band that the threshold allows are left out, the longest
 chain of the others that keeps both orders (labelled k-mers are distinct, so it is a longest increasing subsequence) has m
@@ -27,13 +29,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_table, texts, write_table
 
 WORDS, SKETCHES, SIZE, SIMILARITY = 5, 20, 4, 0.8
 BLOCK = 1 << 18
+SLOTS = 1 << 20
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _WEIGHTS = np.array([0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
@@ -174,16 +177,70 @@ def _sequences(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return asked.select("doc_id", F.lower("text").cast("binary")).mapInArrow(run, "node long, seq binary")
 
 
+def _distinct(seq: bytes) -> np.ndarray:
+    """Distinct 32-bit k-mers in the order of the text."""
+    grams, first = np.unique(np.frombuffer(seq, np.uint32), return_index=True)
+    return grams[np.argsort(first)]
+
+
+def _frequencies(sequences: DataFrame) -> np.ndarray:
+    """How often k-mers of each slot occur; a table of fixed size. It only orders the k-mers, so shared slots do no harm."""
+
+    def run(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            seqs = b.column(0).to_pylist()
+            if seqs:
+                total += np.bincount(np.frombuffer(b"".join(seqs), np.uint32) & np.uint32(SLOTS - 1), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["slot", "n"])
+
+    t = sequences.select("seq").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int32)
+    out[t["slot"].to_numpy()] = np.minimum(t["n"].to_numpy(), 2**31 - 1)
+    return out
+
+
+def _prefixes(nodes: DataFrame, least: float) -> DataFrame:
+    """(node, label, n, gram, rank, at): of each text with n k-mers the rarest ones, their ranks and places. One of them is the
+    first of the chain, in this order, of any pair that reaches the threshold."""
+    shared = nodes.sparkSession.sparkContext.broadcast(_frequencies(nodes))
+    types = {"node": pa.int64(), "label": pa.int64(), "n": pa.int32(), "gram": pa.int32(), "rank": pa.int32(), "at": pa.int32()}
+
+    def run(batches):
+        often = shared.value
+        for b in batches:
+            kept = []
+            for node, label, seq in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                v = _distinct(seq)
+                n = len(v)
+                at = np.lexsort((v, often[v & np.uint32(SLOTS - 1)]))[: n - int(np.ceil(least * n - 1e-9)) + 1]
+                m = len(at)
+                kept.append((np.full(m, node), np.full(m, label), np.full(m, n), v[at].view(np.int32), np.arange(m), at))
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*kept, strict=True), types.values(), strict=True)], names=list(types))
+
+    return nodes.select("node", "label", "seq").mapInArrow(run, "node long, label long, n int, gram int, rank int, at int")
+
+
+def _meeting(prefixes: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of nodes of different labels that may reach the threshold: none that does is left out."""
+    mixed = prefixes.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("gram")
+    own = prefixes.join(mixed, "gram", "left_semi")
+    x, y = (own.select("gram", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "label", "n", "rank", "at")]) for side in "ab")
+    n = F.col("n_a") + F.col("n_b")
+    enough = F.least(F.col("n_a") - F.col("rank_a"), F.col("n_b") - F.col("rank_b")) >= n * (least / (1 + least)) - 1e-6
+    band = F.ceil(n - n * (2 * least / (1 + least)) + 1e-6) + 1
+    meet = x.join(y, "gram").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & enough & (F.abs(F.col("at_a") - F.col("at_b")) <= band))
+    return meet.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def _verified(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
     """pairs (a, b) of nodes, with the labels they have so far, and their similarity."""
 
     def run(frames):
         for f in frames:
-            s = []
-            for x, y in zip(f["seq_a"], f["seq_b"], strict=True):
-                a, b = np.unique(np.frombuffer(x, np.uint32), return_index=True), np.unique(np.frombuffer(y, np.uint32), return_index=True)
-                a, b = (v[0][np.argsort(v[1])] for v in (a, b))  # distinct as 32-bit numbers, in the order of the text
-                s.append(alike(a, b, least))
+            s = [alike(_distinct(x), _distinct(y), least) for x, y in zip(f["seq_a"], f["seq_b"], strict=True)]
             yield pd.DataFrame({"a": f["a"], "b": f["b"], "la": f["la"], "lb": f["lb"], "similarity": s})
 
     both = pairs.join(sequences.select(F.col("node").alias("a"), F.col("seq").alias("seq_a")), "a").join(sequences.select(F.col("node").alias("b"), F.col("seq").alias("seq_b")), "b")
@@ -220,13 +277,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     sequences, sequences_path = write_table(_sequences(own, members.select("node").distinct()), "sequences")
     tested, passing = None, [members_path, sequences_path]
     labels, labels_path = write_table(members.select("node").distinct().withColumn("label", F.col("node")), "labels")
-    for r in range(rounds):
-        rows = members.join(labels, "node")
-        draw = F.xxhash64("node", "bucket", F.lit(r)) if r else F.col("node")
-        centre = F.min(F.struct(draw.alias("draw"), F.col("node").alias("centre"), F.col("n").alias("cn"), F.col("label").alias("clabel")))
-        centres = rows.groupBy("bucket").agg(centre.alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket", "c.*")
-        near = rows.join(centres, "bucket").where(fits & (F.col("label") != F.col("clabel")))
-        found = near.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), F.least("label", "clabel").alias("la"), F.greatest("label", "clabel").alias("lb")).distinct()
+
+    def settle(found: DataFrame) -> None:
+        """Verify pairs (a, b, la, lb) and join the labels of those that are alike."""
+        nonlocal tested, labels, labels_path
         if tested is not None:
             found = found.join(tested, ["a", "b"], "left_anti")
         checked, path = write_table(_verified(found, sequences, least), "checked")
@@ -234,13 +288,42 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
         tested = checked.select("a", "b") if tested is None else tested.union(checked.select("a", "b"))
         links = checked.where(F.col("similarity") >= least).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
         if not links.limit(1).count():
-            continue
+            return
         # components of what the round before left apart
         joined, joined_path = components(links)
         after, after_path = write_table(labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
         for path in (joined_path, labels_path):
             drop_table(own.sparkSession, path)
         labels, labels_path = after, after_path
+
+    for r in range(rounds):
+        rows = members.join(labels, "node")
+        draw = F.xxhash64("node", "bucket", F.lit(r)) if r else F.col("node")
+        centre = F.min(F.struct(draw.alias("draw"), F.col("node").alias("centre"), F.col("n").alias("cn"), F.col("label").alias("clabel")))
+        centres = rows.groupBy("bucket").agg(centre.alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket", "c.*")
+        near = rows.join(centres, "bucket").where(fits & (F.col("label") != F.col("clabel")))
+        settle(near.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), F.least("label", "clabel").alias("la"), F.greatest("label", "clabel").alias("lb")).distinct())
+    # the rest exactly: all nodes of buckets that still hold several components
+    rows = members.join(labels, "node")
+    several = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
+    apart = labels.join(rows.join(several, "bucket", "left_semi").select("node").distinct(), "node").join(sequences, "node")
+    prefixes, path = write_table(_prefixes(apart, least), "prefixes")
+    passing.append(path)
+    left, path = write_table(_meeting(prefixes, least), "meeting")
+    passing.append(path)
+    few = 32  # pairs a label verifies before labels are joined, so that large classes don't verify all of theirs
+    while True:
+        a, b = (labels.select(F.col("node").alias(k), F.col("label").alias(f"label_{k}")) for k in "ab")
+        open_ = left.join(a, "a").join(b, "b").where("label_a <> label_b")
+        if tested is not None:
+            open_ = open_.join(tested, ["a", "b"], "left_anti")
+        left, path = write_table(open_.select("a", "b", F.least("label_a", "label_b").alias("la"), F.greatest("label_a", "label_b").alias("lb")), "open")
+        passing.append(path)
+        if not left.limit(1).count():
+            break
+        turn = F.row_number().over(Window.partitionBy("la").orderBy(F.xxhash64("a", "b")))
+        settle(left.withColumn("turn", turn).where(F.col("turn") <= few).drop("turn"))
+        left, few = left.select("a", "b"), few * 8
     for path in passing:  # what is returned reads the sketches and labels only
         drop_table(own.sparkSession, path)
     nodes = table.groupBy("digest").agg(F.min("doc_id").alias("node")).join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"))

@@ -115,6 +115,19 @@ def test_near_dedup_by_brute_force(spark):
     assert near_dedup.classes(df.limit(0)).count() == 0
 
 
+def test_template_family_by_brute_force(spark):
+    """Pairs of near-copies among many texts that share most of their words: buckets hold them all, none may be missed."""
+    rng = np.random.default_rng(5)
+    shared = " ".join(f"s{i}" for i in range(124))
+    texts = {}
+    for i in range(120):
+        pair = " ".join(f"p{i}x{j}" for j in range(3))
+        for k in range(2):
+            texts[2 * i + k] = f"{shared} {pair} " + " ".join(f"o{x}" for x in rng.integers(0, 10**6, 13))
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == brute_classes(texts) == {d: d - d % 2 for d in texts}
+
+
 def test_hot_groups_stay_linear(spark):
     rng = np.random.default_rng(4)
     base = [f"w{i}" for i in rng.integers(0, 999, 80)]
