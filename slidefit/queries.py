@@ -365,11 +365,11 @@ def multichannel_convolve(spark, sf):
 
 @query()
 def matched_filter(spark, sf):
-    """A template whitened by the covariance of eight channels."""
+    """A template whitened by the covariance of all channels."""
     e = Estimator(EMB, keys=("series_id", "ch"))
-    df = channels(spark, sf).where("ch < 8")
+    df = channels(spark, sf)
     cov = detect.channel_covariance(df, "ch", keys=("series_id",))
-    return rounded(detect.matched_filter(e, df, np.ones((8, 2)), cov, "ch"), 4, "c")
+    return rounded(detect.matched_filter(e, df, np.ones((len(cov), 2)), cov, "ch"), 4, "c")
 
 
 ND = costs.NDCompositeCost([costs.CostSegment(models.AlssmPoly(1), Segment(-3, 3, "bw", 10)), costs.CostSegment(models.AlssmPoly(1), Segment(-2, 2, "bw", 5))])

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from slidefit import queries
 from slidefit.operators import detect, placement
 from slidefit.operators.estimator import Estimator, create_rls
 from slidefit.plans import check, costs, gram, models
@@ -114,6 +115,16 @@ def test_matched_filter(spark):
     np.testing.assert_allclose(got, [sum(xi[c, k] @ w[c] for c in range(3)) for k in range(50)], atol=1e-8)
 
 
+def test_matched_filter_query_takes_all_channels(spark, tmp_path):
+    y = np.random.default_rng(6).standard_normal((150, 64))
+    spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(y)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.k: r.c for r in queries.matched_filter(spark, str(tmp_path)).collect()}
+    white = y @ (np.linalg.inv(np.cov(y.T)) @ np.ones(64))
+    want = [sum(queries.EMB.segments[0].weight(j) * (1 + j) * white[k + j] for j in range(-4, 5)) for k in range(4, 146)]
+    np.testing.assert_allclose([got[k] for k in range(4, 146)], want, atol=1e-3)
+    assert len(got) == 150
+
+
 def test_windows_are_placed(spark):
     cost = costs.CompositeCost([models.AlssmPoly(1)], [S(-3, -1, "fw", 5), S(0, 2, "bw", 5)], np.ones((1, 2)))
     anchors = spark.createDataFrame([("s", 1), ("s", 3), ("s", 9)], "series_id string, k long")
