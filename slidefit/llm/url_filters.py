@@ -39,9 +39,10 @@ def judge(captures: DataFrame, events: DataFrame, id_col: str = "page_id", url_c
     """Per capture: id, host, n_matches (intervals that hold), matched_host (the longest), listed_at (its valid_from), blocked."""
     rows = captures.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), F.col(time_col).alias("fetched_at"))
     intervals = validity(events).withColumnRenamed("host", "listed")
-    asked = rows.withColumn("listed", F.explode(parents(F.col("host"))))
+    # hosts and times are judged once and met by all their captures, so no capture merges with another
+    asked = rows.select("host", "fetched_at").distinct().withColumn("listed", F.explode(parents(F.col("host"))))
     held = (F.col("valid_from") <= F.col("fetched_at")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))
-    hit = asked.join(intervals.withColumnRenamed("listed", "entry"), (F.col("listed") == F.col("entry")) & held, "left")
-    best = F.max(F.when(F.col("entry").isNotNull(), F.struct(F.length("entry").alias("n"), "entry", "valid_from")))
-    found = hit.groupBy("id", "host", "fetched_at").agg(F.count("entry").alias("n_matches"), best.alias("best"))
-    return found.select(F.col("id").alias(id_col), "host", "fetched_at", "n_matches", F.col("best.entry").alias("matched_host"), F.col("best.valid_from").alias("listed_at"), (F.col("n_matches") > 0).alias("blocked"))
+    hit = asked.join(intervals.withColumnRenamed("listed", "entry"), (F.col("listed") == F.col("entry")) & held)
+    found = hit.groupBy("host", "fetched_at").agg(F.count("entry").alias("n_matches"), F.max(F.struct(F.length("entry").alias("n"), "entry", "valid_from")).alias("best"))
+    n = F.coalesce("n_matches", F.lit(0).cast("long"))
+    return rows.join(found, ["host", "fetched_at"], "left").select(F.col("id").alias(id_col), "host", "fetched_at", n.alias("n_matches"), F.col("best.entry").alias("matched_host"), F.col("best.valid_from").alias("listed_at"), (n > 0).alias("blocked"))

@@ -210,6 +210,15 @@ def test_url_filters(spark):
     assert url_filters.judge(cap.limit(0), ev).count() == 0
 
 
+def test_url_filters_of_repeated_and_null_ids(spark):
+    ev = spark.createDataFrame([("L", "a.com", 5, "add")], "list string, host string, at long, action string")
+    rows = [(1, "http://x.a.com/", 9)] * 3 + [(None, "http://x.a.com/", 9)] * 2 + [(None, "http://x.a.com/", None)] * 2 + [(None, None, None)] * 2
+    got = url_filters.judge(spark.createDataFrame(rows, "page_id long, url string, fetched_at long"), ev).collect()
+    assert sorted((r.page_id or 0, r.host, r.fetched_at or 0, r.n_matches, r.matched_host, r.blocked) for r in got) == sorted(
+        [(1, "x.a.com", 9, 1, "a.com", True)] * 3 + [(0, "x.a.com", 9, 1, "a.com", True)] * 2 + [(0, "x.a.com", 0, 0, None, False)] * 2 + [(0, "", 0, 0, None, False)] * 2
+    )
+
+
 def test_curve_is_monotonic():
     x = np.array([[d, 0.5] for d in np.linspace(-1, 1, 50)])
     w = compression_quality.curve(x, (x[:, 0] > 0.1).astype(float))
