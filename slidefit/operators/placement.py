@@ -42,19 +42,28 @@ def _placed(anchors: DataFrame, rows: DataFrame, names: list[str], order: list[s
     for o, n in zip(order, names, strict=True):
         at = at.withColumn(o, F.col(o) + F.col(n))
     for o, k in zip(order, lengths, strict=True):
-        at = at.where((F.col(o) >= 0) & (F.col(o) < k))
+        at = at.where((F.col(o) >= 0) & (F.col(o) < _length(k)))
     return at
 
 
+def _length(k):
+    """A number, or the column of the anchors that holds each series' own."""
+    return F.col(k) if isinstance(k, str) else F.lit(int(k))
+
+
+def _length_columns(lengths) -> list[str]:
+    return [k for k in lengths if isinstance(k, str)]
+
+
 def window_place(cost, anchors: DataFrame, lengths, keys=("series_id",), order=("k",), merged_ks: bool = True, merged_seg: bool = True, segment_indices=None, thd: float = 1e-6, fill_value: float | None = 0.0) -> DataFrame:
     """Windows at anchors (keys..., order...): value at every sample, the largest where several meet.
 
-    lengths: samples per axis. Unmerged results also have the anchor (anchor_...) or the segment. With a fill_value, merged
+    lengths: samples per axis, each a number or a column of the anchors (constant in a series). Unmerged results also have the anchor (anchor_...) or the segment. With a fill_value, merged
     results have a row for every sample of each series that has an anchor; with None, covered samples only.
     """
     keys, order = list(keys), list(order)
     lengths = [lengths] if np.isscalar(lengths) else list(lengths)
-    marked = anchors.select(*keys, *order, *[F.col(o).alias(f"anchor_{o}") for o in order])
+    marked = anchors.select(*keys, *order, *_length_columns(lengths), *[F.col(o).alias(f"anchor_{o}") for o in order])
     at = _placed(marked, window_eval(anchors.sparkSession, cost, segment_indices, thd), _offset_names(cost), order, "weight", lengths)
     return _merged(at, F.col("weight"), keys, order, lengths, merged_ks, merged_seg, fill_value, anchors)
 
@@ -64,10 +73,10 @@ def _merged(at: DataFrame, value, keys, order, lengths, merged_ks, merged_seg, f
     out = at.groupBy(*by).agg(F.max(value).alias("value"))
     if fill_value is None or not (merged_ks and merged_seg):
         return out
-    spine = anchors.select(*keys).distinct()
+    spine = anchors.select(*keys, *_length_columns(lengths)).distinct()
     for o, k in zip(order, lengths, strict=True):
-        spine = spine.withColumn(o, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(int(k) - 1).cast("long"))))
-    return spine.join(out, [*keys, *order], "left").withColumn("value", F.coalesce("value", F.lit(float(fill_value))))
+        spine = spine.withColumn(o, F.explode(F.sequence(F.lit(0).cast("long"), (_length(k) - 1).cast("long"))))
+    return spine.drop(*_length_columns(lengths)).join(out, [*keys, *order], "left").withColumn("value", F.coalesce("value", F.lit(float(fill_value))))
 
 
 def trajectory_table(spark: SparkSession, cost, F_=None, thd: float = 1e-6) -> DataFrame:  # noqa: N803
@@ -102,6 +111,6 @@ def trajectory_place(cost, states: DataFrame, anchors: DataFrame, lengths, keys=
     """
     keys, order = list(keys), list(order)
     lengths = [lengths] if np.isscalar(lengths) else list(lengths)
-    own = states.join(anchors.select(*keys, *order).distinct(), [*keys, *order]).select(*keys, *order, x, *[F.col(o).alias(f"anchor_{o}") for o in order])
+    own = states.join(anchors.select(*keys, *order, *_length_columns(lengths)).distinct(), [*keys, *order]).select(*keys, *order, x, *_length_columns(lengths), *[F.col(o).alias(f"anchor_{o}") for o in order])
     at = _placed(own, trajectory_table(states.sparkSession, cost, F_, thd), _offset_names(cost), order, "row", lengths)
     return _merged(at, la.dot(F.col(x), F.col("row")), keys, order, lengths, merged_ks, merged_seg, fill_value, anchors)

@@ -448,6 +448,27 @@ def trajectory_place(spark, sf):
     return rounded(placement.trajectory_place(SMALL, states, anchors, 1000, fill_value=None).select("series_id", "k", "value"), 5, "value")
 
 
+def _with_length(anchors: DataFrame, signal: DataFrame) -> DataFrame:
+    """Anchors with the length of their own series."""
+    return anchors.join(signal.groupBy("series_id").agg((F.max("k") + 1).alias("length")), "series_id")
+
+
+@query()
+def window_place_whole(spark, sf):
+    """Windows at every peak of every series, on the whole axis of each, merged by their maximum."""
+    signal = events(spark, sf)
+    anchors = _with_length(detect.find_peaks(signal, "y").select("series_id", "k"), signal)
+    return rounded(placement.window_place(SMALL, anchors, "length").select("series_id", "k", "value"), 6, "value")
+
+
+@query()
+def trajectory_place_whole(spark, sf):
+    """Fitted lines at all samples, on the whole axis of each series; the largest stays where they overlap."""
+    e, signal = Estimator(SMALL), events(spark, sf)
+    anchors = _with_length(signal.select("series_id", "k"), signal)
+    return rounded(placement.trajectory_place(SMALL, e.minimize_x(e.filter(signal)), anchors, "length", fill_value=None).select("series_id", "k", "value"), 5, "value")
+
+
 @query("SELECT segment, j, round(w, 9) + 0.0 AS weight FROM (" + " UNION ALL ".join(f"SELECT '{p}' AS segment, j, pow({_num(s.gamma)}, j) AS w FROM (SELECT unnest(range({int(s.a)}, {int(s.b) + 1})) AS j)" for p, s in enumerate(SMALL.segments)) + ")")
 def window_eval(spark, sf):
     return rounded(placement.window_eval(spark, SMALL), 9, "weight")

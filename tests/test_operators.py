@@ -143,6 +143,27 @@ def test_windows_are_placed(spark):
     assert rows["0x1", -2, 1] == pytest.approx(cost.segments[0].weight(-2) * cost.segments[1].weight(1)) and len(rows) == 36
 
 
+def test_placement_covers_whole_series(spark, tmp_path):
+    """Series longer than 1000 samples, and of different lengths: every peak and every sample counts."""
+    rng = np.random.default_rng(7)
+    own = {"a": rng.standard_normal(1300), "b": rng.standard_normal(700)}
+    rows = [(s, k, k, float(100 * v)) for s, y in own.items() for k, v in enumerate(y)]
+    spark.createDataFrame(rows, "event_type string, ts long, event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    windows = {(r.series_id, r.k): r.value for r in queries.window_place_whole(spark, str(tmp_path)).collect()}
+    lines = {(r.series_id, r.k): r.value for r in queries.trajectory_place_whole(spark, str(tmp_path)).collect()}
+    e = Estimator(queries.SMALL)
+    states = {(r.series_id, r.k): r.x for r in e.minimize_x(e.filter(queries.events(spark, str(tmp_path)))).collect()}
+    weight = {j: s.weight(j) for s in queries.SMALL.segments for j in range(int(s.a), int(s.b) + 1)}
+    assert set(windows) == set(lines) == {(s, k) for s, y in own.items() for k in range(len(y))}
+    for s, y in own.items():
+        n = len(y)
+        peak = [0 < k < n - 1 and y[k - 1] < y[k] > y[k + 1] for k in range(n)]
+        for k in range(n):
+            near = range(max(0, k - 5), min(n, k + 6))
+            assert windows[s, k] == pytest.approx(max((weight[k - a] for a in near if peak[a]), default=0), abs=2e-6)
+            assert lines[s, k] == pytest.approx(max(states[s, a][0] + (k - a) * states[s, a][1] for a in near), abs=2e-5)
+
+
 def test_trajectories(spark):
     cost = costs.CompositeCost([models.AlssmPoly(1), models.AlssmPoly(1)], [S(-3, -1, "fw", 10), S(0, 3, "bw", 10)], np.eye(2))
     states = spark.createDataFrame([("s", 2, [1.0, 0.5, 2.0, -1.0]), ("s", 5, [0.0, 1.0, 0.0, 1.0])], "series_id string, k long, x array<double>")
