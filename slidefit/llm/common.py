@@ -5,14 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where the setting is absent (tests on one machine)."""
+    """The folder in spark.checkpoint.dir; where the setting is absent, a temporary one, on one machine only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not (spark.conf.get("spark.master", "local") or "").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         folder = f"file://{tempfile.mkdtemp(prefix='slidefit-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -38,6 +43,18 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int):
+    """The batch in slices of at most that many bytes of a binary or string column, one row at least."""
+    if not batch.num_rows:
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def read_bytes(path: str) -> bytes:
     """A vocabulary file on the driver; executors get its bytes by broadcast."""
     with open(path, "rb") as f:

@@ -9,11 +9,15 @@
    window by binary search in the plan. Only histograms and the plan, bounded by the window, reach the driver.
 
 Null texts count as empty: a document has its end token at least, so it always has one piece. An empty table gives an
-empty result. Repeated doc_id rows are packed each.
+empty result. Repeated rows are packed each; rows without an id keep a null one. Very long texts are cut like others; a batch
+holds some 16 MB of text or one document. Of equal lengths, the smaller id and start come first. Further columns of docs are
+left behind.
 """
 
 from __future__ import annotations
 
+import json
+import logging
 import os
 import re
 import zlib
@@ -26,30 +30,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read_bytes, texts, write_table
+from .common import read_bytes, slices, texts, write_table
 
+log = logging.getLogger(__name__)
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-#: Characters that may stand between pre-tokens; the first that is one token serves.
-SEPARATORS = "©®§♥☺→•"
-#: Pre-tokens that a worker remembers before it starts anew.
-CACHE_PARTS = 800_000
-#: The tokenizer's pattern for lower-case texts up to U+00FF and U+017F: letters, contractions, single digits, runs of other marks.
-_LETTERS, _DIGITS, _SPACE = "a-zA-Zªµº\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
-_NEAR, _WIDE = (re.compile(f"[{_LETTERS}{more}]+|'(?:s|t|re|ve|m|ll|d)|[{_DIGITS}]|[^{_SPACE}{_LETTERS}{more}{_DIGITS}]+").findall for more in ("", "\\u0100-\\u017f"))
-_FAR = re.compile("[^\x00-\u012f\u0131-\u017f]")
-
-
-def pre_tokens(t: str) -> list[str]:
-    """Parts over whose ends no token reaches."""
-    if "<|" in t:  # may hold a control string, which the tokenizer takes as it is
-        return t.replace("\n", " ").split(" ")
-    try:
-        t.encode("latin-1")  # far faster than a search for characters
-        return _NEAR(t.lower())
-    except UnicodeEncodeError:
-        return t.replace("\n", " ").split(" ") if _FAR.search(t) else _WIDE(t.lower())
-
-
+#: Long words and pre-tokens, slots for short words and ids of words that a worker remembers before it starts anew.
+KNOWN_WORDS, KNOWN_PARTS, SLOTS, POOL = 200_000, 500_000, 1 << 21, 1 << 23
+#: Bytes of text looked up at a time.
+BLOCK = 1 << 20
+#: The tokenizer's pattern for lower-case words up to U+017F: letters, contractions, single digits, runs of other marks; and line ends.
+_LETTERS, _DIGITS, _SPACE = "a-zA-Zªµº\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff\\u0100-\\u017f", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
+_parts = re.compile(f"[{_LETTERS}]+|\n|'(?:s|t|re|ve|m|ll|d)|[{_DIGITS}]|[^{_SPACE}{_LETTERS}{_DIGITS}]+").findall
+_WORD_END = "</w>"
+#: Stands between the ids of words.
+_CUT = 2**32 - 1
+
+_U = np.uint64
 _state: dict = {}
 
 
@@ -63,71 +59,174 @@ class Known(dict):
         self.new.add(part)
 
 
+_RECORD = np.dtype([("first", "u8"), ("last", "u8"), ("start", "u4"), ("size", "u1"), ("n", "u1")])
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1] * 9, np.uint64)
+SHORT = 16
+
+
 class WordTokens:
-    """Token bytes of texts by their pre-tokens, each encoded once.
+    """Token ids of texts by their words, each encoded once.
+
+    A text is cut at ASCII white space, over which no token reaches. A word of letters up to U+017F is lower-cased and cut as
+    the tokenizer's own pattern cuts it; in that range no letter's normal form or lower case depends on its neighbours (the
+    dotted capital I aside). Any other word goes to the tokenizer whole. Pre-tokens are encoded many at a time: the last token
+    of each is one that ends a word, and no other is.
 
-    A text of letters up to U+017F is lower-cased and cut as the tokenizer's own pattern cuts it; in that range no letter's
-    normal form or lower case depends on its neighbours (the dotted capital I aside). Any other text is cut at white space
-    only, over which no token reaches.
+    Words of at most 16 bytes are looked up for a whole block at once, in a table of two places a slot that holds their first
+    and last eight bytes and their length, which are the word; longer ones in a dictionary. Ids lie in one pool.
     """
 
     def __init__(self, blob: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_str(blob.decode()), Known()
-        one = [(c, ids[0]) for c in SEPARATORS if len(ids := self.tokenizer.encode(c, add_special_tokens=False).ids) == 1]
-        self.mark, self.mark_id = one[0] if one else (None, None)
+        self.tokenizer, self.long, self.parts = Tokenizer.from_str(blob.decode()), {}, Known()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        plain = json.loads(blob) | {"normalizer": None, "added_tokens": []}
+        plain["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *[x for x in plain["pre_tokenizer"]["pretokenizers"] if x["type"] == "ByteLevel"]]}
+        self.plain = Tokenizer.from_str(json.dumps(plain))  # for pre-tokens, which need no cutting any more
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for v, k in vocabulary.items() if v.endswith(_WORD_END)]] = True
+        self.table, self.pool, self.used = np.zeros(SLOTS, _RECORD), np.zeros(1 << 16, "<u4"), 0
+
+    def _ids(self, texts: list[str], plain: bool = False) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in (self.plain if plain else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, parts: list[str]) -> list[bytes]:
-        """Token bytes of pre-tokens; many go in one call, with a one-token mark between them that none of them holds."""
+        """Token bytes of pre-tokens."""
         out: list[bytes] = []
         for at in range(0, len(parts), 1024):
             some = parts[at : at + 1024]
-            joined = f" {self.mark} ".join(some)
-            if self.mark and joined.count(self.mark) == len(some) - 1:
-                raw = array("I", self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids).tobytes()
-                cuts = (4 * np.flatnonzero(np.frombuffer(raw, "<u4") == self.mark_id)).tolist()
-                if len(cuts) == len(some) - 1:
-                    out += [raw[i:j] for i, j in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True)]
-                    continue
-            out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            raw = self._ids([" ".join(some)], True)[0]
+            cuts = (4 * np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 4).tolist()
+            if len(cuts) == len(some) and cuts[-1] == len(raw):
+                out += [raw[i:j] for i, j in zip([0, *cuts[:-1]], cuts, strict=True)]
+            else:
+                out += self._ids(some, True)
         return out
 
-    def documents(self, batch: list[str]):
-        """Little-endian 32-bit ids of each text."""
-        known = self.known
-        for at in range(0, len(batch), 256):
-            group = [pre_tokens(t) for t in batch[at : at + 256]]
-            if len(known) > CACHE_PARTS:
-                known.clear()
-            found = [list(map(known.__getitem__, parts)) for parts in group]
-            new = list(known.new)
-            known.new.clear()
-            known.update(zip(new, self.encode(new), strict=True))
-            for parts, got in zip(group, found, strict=True):
-                for k in [k for k, ids in enumerate(got) if ids is None]:
-                    got[k] = known[parts[k]]
-                yield b"".join(got)
+    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Put the ids of words without white space into the pool: where they start and how many they are."""
+        n = np.zeros(len(words), np.int64)
+        joined = b"\n".join(words)
+        raw = np.frombuffer(joined, np.uint8)
+        odd = raw >= 0xC6  # what lies beyond U+017F, the dotted capital I (C4 B0), <|
+        odd[:-1] |= (raw[:-1] == 0xC4) & (raw[1:] == 0xB0) | (raw[:-1] == 60) & (raw[1:] == 124)
+        far = np.unique(np.searchsorted(np.cumsum([len(w) + 1 for w in words]), np.flatnonzero(odd), "right"))
+        near, ids = np.setdiff1d(np.arange(len(words)), far), []
+        if len(near):
+            text = (b"\n".join([words[k] for k in near.tolist()]) if len(far) else joined).decode("utf-8", "replace")
+            parts = self.parts
+            parts["\n"] = _CUT.to_bytes(4, "little")
+            cut = _parts(text.lower())
+            got = list(map(parts.__getitem__, cut))
+            if parts.new:
+                new = list(parts.new)
+                parts.new.clear()
+                parts.update(zip(new, self.encode(new), strict=True))
+                got = list(map(parts.__getitem__, cut))
+            some = np.frombuffer(b"".join(got), "<u4")
+            n[near] = np.diff(np.flatnonzero(some == _CUT), prepend=-1, append=len(some)) - 1
+            ids.append(some[some != _CUT])
+            if len(parts) > KNOWN_PARTS:
+                parts.clear()
+        for at in range(0, len(far), 1024):
+            some = far[at : at + 1024].tolist()
+            for k, own in zip(some, self._ids([words[k].decode("utf-8", "replace") for k in some]), strict=True):
+                n[k] = len(own) // 4
+                ids.append(np.frombuffer(own, "<u4"))
+        order = np.concatenate([near, far])
+        total, start = int(n.sum()), np.zeros(len(words), np.int64)
+        start[order] = self.used + np.cumsum(n[order]) - n[order]
+        if self.used + total > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(self.pool), total), "<u4")])
+        if total:
+            self.pool[self.used : self.used + total] = np.concatenate(ids)
+        self.used += total
+        return start, n
+
+    def block(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each text's end."""
+        if self.used > POOL or len(self.long) > KNOWN_WORDS:
+            self.table, self.used, self.long = np.zeros(SLOTS, _RECORD), 0, {}
+        joined = bytes(8) + b"\n".join(texts) + b"\n" + bytes(8)
+        raw = np.frombuffer(joined, np.uint8)
+        own = raw[8:-8]
+        space = (own == 32) | ((own >= 9) & (own <= 13))
+        turn = np.flatnonzero(np.diff(space, prepend=True)) + 8  # words begin and end in turn; the last byte is white space
+        begin, end = turn[::2], turn[1::2]
+        size = end - begin
+        eight = np.lib.stride_tricks.as_strided(raw, (len(raw) - 7, 8), (1, 1)).copy().view("<u8").ravel()
+        few = np.minimum(size, SHORT)
+        first = eight[begin] & _HEAD[few]
+        last = np.where(size > 8, eight[end - 8], _U(0))
+        slot = first * _U(0x9E3779B97F4A7C15) + last * _U(0xC2B2AE3D27D4EB4F) + few.astype(np.uint64) * _U(0xD6E8FEB86659FD93)
+        slot ^= slot >> _U(29)
+        slot = ((slot * _U(0xA0761D6478BD642F)) >> _U(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+        def found(at: np.ndarray, k=slice(None)) -> np.ndarray:
+            r = self.table[at]
+            start[k], n[k] = r["start"], r["n"]
+            return (r["first"] == first[k]) & (r["last"] == last[k]) & (r["size"] == size[k])
+
+        start, n = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+        open_ = np.flatnonzero(~found(slot))
+        open_ = open_[~found(slot[open_] ^ 1, open_)]
+        if len(open_):
+            words = [joined[a:b] for a, b in zip(begin[open_].tolist(), end[open_].tolist(), strict=True)]
+            number = {w: k for k, w in enumerate(dict.fromkeys(words))}
+            distinct = list(number)
+            places = np.array([self.long.get(w, (-1, 0)) if len(w) > SHORT else (-1, 0) for w in distinct], np.int64).reshape(-1, 2)
+            new = np.flatnonzero(places[:, 0] < 0)
+            places[new] = np.stack(self.learn([distinct[k] for k in new.tolist()]), 1)
+            self.long.update((w, p) for w, p in zip(distinct, map(tuple, places.tolist()), strict=True) if len(w) > SHORT)
+            start[open_], n[open_] = places[np.fromiter(map(number.__getitem__, words), np.int64, len(words))].T
+            put = open_[(size[open_] <= SHORT) & (n[open_] <= 255)]
+            at = slot[put]
+            at = np.where(self.table["size"][at] == 0, at, at ^ 1)
+            record = np.zeros(len(put), _RECORD)
+            record["first"], record["last"], record["start"], record["size"], record["n"] = first[put], last[put], start[put], size[put], n[put]
+            self.table[at] = record
+        stop = np.cumsum(n)
+        ids = self.pool[np.repeat(start - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)]
+        bounds = np.cumsum([len(t) + 1 for t in texts]) + 8
+        return ids, np.r_[0, stop][np.searchsorted(begin, bounds)]
+
+    def documents(self, texts: list[bytes]):
+        """Little-endian 32-bit ids of each UTF-8 text."""
+        at = 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (size == 0 or size < BLOCK):
+                size += len(texts[to])
+                to += 1
+            ids, ends = self.block(texts[at:to])
+            a = 0
+            for b in ends.tolist():
+                yield ids[a:b]
+                a = b
+            at = to
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens. Documents longer than the window are cut at its multiples."""
     blob = docs.sparkSession.sparkContext.broadcast(read_bytes(tokenizer_path))
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def cut(batches):
         if _state.get("key") != (tokenizer_path, len(blob.value)):
             _state.update(key=(tokenizer_path, len(blob.value)), words=WordTokens(blob.value))
+        names = [f.split()[0] for f in PIECES.split(", ")]
         for b in batches:
-            rows: list[tuple] = []
-            for doc, ids in zip(b.column(0).to_pylist(), _state["words"].documents(b.column(1).to_pylist()), strict=True):
-                ids += end
-                n = len(ids) // 4
-                rows += [(doc, s, min(window, n - s), zlib.crc32(ids[4 * s : 4 * (s + window)]), n) for s in range(0, n, window)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5, names=[f.split()[0] for f in PIECES.split(", ")])
+            for part in slices(b, 1, 16 * BLOCK):
+                rows: list[tuple] = []
+                for doc, ids in zip(part.column(0).to_pylist(), _state["words"].documents(part.column(1).to_pylist()), strict=True):
+                    ids = np.append(ids, end)
+                    n = len(ids)
+                    rows += [(doc, s, min(window, n - s), zlib.crc32(ids[s : s + window]), n) for s in range(0, n, window)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
-    return texts(docs).mapInArrow(cut, PIECES)
+    return texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(cut, PIECES)
 
 
 def combinations(bins: int, depth: int = 3) -> np.ndarray:
@@ -141,7 +240,11 @@ def combinations(bins: int, depth: int = 3) -> np.ndarray:
 
 
 def solve_nnls(patterns: np.ndarray, wanted: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """min |A x - wanted|, x >= 0, by an active-set method; column j of A counts the bins of patterns[j]. wanted[0] is ignored."""
+    """min |A x - wanted|, x >= 0, by an active-set method; column j of A counts the bins of patterns[j]. wanted[0] is ignored.
+
+    It ends when no combination's gradient exceeds a quarter of a piece, when a round brings nothing, or after rounds; the
+    latter two are logged. What is off then goes to the greedy packing, so no piece is lost.
+    """
     bins, n = len(wanted), len(patterns)
     scale = max(1.0, float(wanted.max(initial=0)))
     goal = wanted / scale
@@ -156,17 +259,19 @@ def solve_nnls(patterns: np.ndarray, wanted: np.ndarray, rounds: int = 200) -> n
         return a
 
     usable = np.all(goal[patterns] + (patterns == 0) > 0, axis=1)  # a bin without pieces can't be used
-    off = np.inf
+    off, stop = np.inf, "rounds used up"
     for _ in range(rounds):
         rest = goal.copy()
         at = np.flatnonzero(active)
         if len(at):
             rest -= matrix(at) @ x[at]
         if off - (off := float(rest @ rest)) <= 1e-9 * off:
-            break  # no better than the round before
+            stop = "no better than the round before"
+            break
         gain = rest[patterns].sum(1)
         gain[active | ~usable] = -1
         if gain.max(initial=-1) < 0.25 / scale:  # a quarter of a piece: rounding wouldn't see it
+            stop = "solved"
             break
         # several columns without a bin in common enter at once
         taken, entered, enough = np.zeros(bins, bool), 0, 0.3 * gain.max()
@@ -198,6 +303,8 @@ def solve_nnls(patterns: np.ndarray, wanted: np.ndarray, rounds: int = 200) -> n
             active[at[now <= 0]] = False
             if not active.any():
                 break
+    if stop != "solved":
+        log.info("NNLS stopped (%s), %.4g pieces off the histogram", stop, scale * off**0.5)
     return x * scale
 
 
@@ -261,10 +368,12 @@ def lookup(combos: list[tuple[tuple[int, ...], int]], bins: int) -> list[dict]:
     return [dict(zip(("at", "first", "span", "place"), np.array(r, np.int64).T.reshape(4, -1), strict=True)) for r in runs]
 
 
-def pack(pieces: DataFrame, window: int = 4096, unit: int = 8, salts: int = 64) -> DataFrame:
-    """pieces with sequence_id and offset: at most window tokens a sequence, offsets without gaps."""
+def pack(pieces: DataFrame, window: int = 4096, unit: int = 8, salts: int | None = None) -> DataFrame:
+    """pieces with sequence_id and offset: at most window tokens a sequence, offsets without gaps. salts: into how many tasks one
+    length is spread at most; by default as many as shuffle partitions, within 64 and 2048, as the histogram is kept per salt."""
     if window % unit:
         raise ValueError("window must be a multiple of unit")
+    salts = salts or min(2048, max(64, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     bins = window // unit
     salted = pieces.withColumn("bin", F.ceil(F.col("length") / unit).cast("int")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int"))
     grid = np.zeros((bins + 1, salts), np.int64)
