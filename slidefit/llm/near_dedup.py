@@ -228,11 +228,14 @@ def _meeting(prefixes: DataFrame, least: float) -> DataFrame:
     mixed = prefixes.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("gram")
     own = prefixes.join(mixed, "gram", "left_semi")
     x, y = (own.select("gram", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "label", "n", "rank", "at")]) for side in "ab")
+    # of the shorter text fewer k-mers are needed: even a partner of the same length must match 2 least / (1 + least) of it
+    x = x.where(F.col("rank_a") <= F.col("n_a") - F.ceil(F.col("n_a") * (2 * least / (1 + least)) - 1e-6))
     n = F.col("n_a") + F.col("n_b")
     enough = F.least(F.col("n_a") - F.col("rank_a"), F.col("n_b") - F.col("rank_b")) >= n * (least / (1 + least)) - 1e-6
     band = F.ceil(n - n * (2 * least / (1 + least)) + 1e-6) + 1
-    meet = x.join(y, "gram").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & enough & (F.abs(F.col("at_a") - F.col("at_b")) <= band))
-    return meet.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    turned = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
+    meet = x.join(y, "gram").where(turned & (F.col("label_a") != F.col("label_b")) & enough & (F.abs(F.col("at_a") - F.col("at_b")) <= band))
+    return meet.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
