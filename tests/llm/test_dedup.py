@@ -159,3 +159,32 @@ def test_rows_without_an_id(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (None, "quite another text of seven words")], "doc_id long, text string")
     rows = sorted((r.class_id or 0, r.doc_id or 0, bool(r.kept)) for r in near_dedup.classes(df).collect())
     assert rows == [(0, 0, False), (1, 0, False), (1, 1, True)]
+
+
+def test_suffix_dedup_with_hot_ids(spark):
+    """Most rows share one id or have none: they are dealt over chunks, but stay one document's rows to each other."""
+    rng = np.random.default_rng(7)
+    texts = list(corpus(rng).values())
+    ids = [None if u < 0.4 else 50 if u < 0.8 else int(100 * u) for u in rng.random(len(texts))]
+    last = 10**9
+    rows = [(last if d is None else d, (t or "").encode()) for d, t in zip(ids, texts, strict=True)]
+    first = {}
+    for d, b in rows:
+        for i in range(len(b) - 49):
+            first[b[i : i + 50]] = min(d, first.get(b[i : i + 50], last))
+    want = []
+    for d, b in rows:
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - 49):
+            if first[b[i : i + 50]] < d:
+                gone[i : i + 50] = True
+        want.append((d, len(b), int(gone.sum()), hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()))
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(5)
+    got = [(last if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.remove_repeats(df).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_chunks_of_hot_ids():
+    cuts, first, parts = suffix_dedup._deal([3, 7, 7, 7, 9, suffix_dedup.LAST, suffix_dedup.LAST])
+    assert cuts.tolist() == [3, 7, 8, 9, suffix_dedup.LAST] and parts.tolist() == [1, 1, 4, 1, 1, 3] and first.tolist() == [0, 1, 2, 6, 7, 8]
+    assert suffix_dedup._deal([])[2].tolist() == [1]
