@@ -17,9 +17,9 @@ range, and gets back bits: whether another chunk (round 1) or an earlier one (ro
 be known of other documents. However often a string occurs, a chunk sends it once: a hot passage or a huge group of copies
 weighs as much as the number of chunks, and no occurrence lists exist. Bytes are removed on equal ranks of 128 bits (digests of
 whole documents, both ends of a run, 50 bytes); strings aren't compared. By the birthday bound one wrong match among 10^13
-positions has a probability under 10^-12. There are spark.sql.shuffle.partitions ranges and four times as many chunks, with
-bounds from approximate percentiles of the ids weighed by their texts' size. An id that many rows share, or none, has chunks of
-its own, dealt by their texts.
+positions has a probability under 10^-12. There is a chunk for every 4 MB of text (as many as spark.sql.shuffle.partitions at least), with bounds from
+approximate percentiles of the ids weighed by their texts' size, and a range for every four chunks, so the exchange has at most
+a quarter of chunks^2 packed rows. An id that many rows share, or none, has chunks of its own, dealt by their texts.
 
 Null texts count as empty; texts under the length lose nothing; rows that share a doc_id don't remove one another's bytes;
 rows without an id count as the largest; an empty table gives an empty result. Very long texts are ranked block by block.
@@ -47,8 +47,8 @@ BLOCK = 1 << 18
 _U = np.uint64
 #: The bits of a sampled rank that are compared.
 _SENT = _U(2**64 - 2**20)
-#: Chunks to a range.
-SPLIT = 4
+#: Bytes of text in a chunk, and chunks whose ranks make a range.
+CHUNK, SPLIT = 1 << 22, 4
 #: Bytes of text that count as one row where chunks are cut.
 WEIGHT = 4096
 
@@ -368,18 +368,22 @@ def _deal(bounds: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(cuts, np.int64), np.cumsum(parts) - parts, np.array(parts, np.int64)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, with_text: bool = False, chunk_bytes: int = CHUNK) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, the carried columns and, if asked for, kept_text.
 
     kept_text leaves out the bytes of a character that lost some of its bytes.
     """
     spark = docs.sparkSession
-    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     carry = carry or []
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), *[F.col(c).alias(f"carried_{c}") for c in carry])
+    # steps + 1 numbers: how many pieces of WEIGHT bytes there are, and where the ids' percentiles lie
+    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    steps = max(4096, 4 * parallel)
     weighed = own.select(F.explode(F.array_repeat("doc_id", (F.length("text") / WEIGHT).cast("int") + 1)).alias("doc_id"))
-    bounds = weighed.agg(F.percentile_approx("doc_id", [k / (SPLIT * ranges) for k in range(1, SPLIT * ranges)], 10 * SPLIT * ranges)).first()[0] if SPLIT * ranges > 1 else None
-    cuts, first_chunk, parts = _deal(bounds)  # SPLIT * ranges numbers
+    pieces, bounds = weighed.agg(F.count("*"), F.percentile_approx("doc_id", [k / steps for k in range(1, steps)], 4 * steps)).first()
+    chunks = min(steps, max(1, parallel, -(-pieces * WEIGHT // chunk_bytes)))
+    ranges = -(-chunks // SPLIT)
+    cuts, first_chunk, parts = _deal([bounds[k * steps // chunks - 1] for k in range(1, chunks)] if bounds else [])
     turns = np.repeat(np.arange(len(parts)), parts)
 
     @F.pandas_udf("int")
