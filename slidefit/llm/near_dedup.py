@@ -18,7 +18,8 @@ propagation over written tables; a component's smallest id is its class.
 
 Null texts count as empty. Texts of fewer than five words have one k-mer of all their words; texts without words are alike
 only as exact copies. Equal texts always share a class, so do rows that share an id; a row without an id has the
-class of an equal text that has one, or none. An empty table gives an empty result.
+class of an equal text that has one, or none. An empty table gives an empty result. Very long texts are taken whole; further
+columns, whatever their names, are left behind.
 """
 
 from __future__ import annotations
@@ -26,13 +27,11 @@ from __future__ import annotations
 from bisect import bisect_left
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_table, texts, write_table
+from .common import drop_table, slices, texts, write_table
 
 WORDS, SKETCHES, SIZE, SIMILARITY = 5, 20, 4, 0.8
 BLOCK = 1 << 18
@@ -123,15 +122,11 @@ def _sketch_table(docs: DataFrame) -> DataFrame:
     def run(batches):
         seeds = _seeds()
         for b in batches:
-            sizes, at = pc.binary_length(b.column(2)).to_numpy(zero_copy_only=False), 0
-            while at < len(sizes):
-                to = at + max(1, int(np.searchsorted(np.cumsum(sizes[at : at + 4096]), BLOCK)))
-                part = b.slice(at, to - at)
+            for part in slices(b, 2, BLOCK):
                 grams, counts = kmers(part.column(2).to_pylist())
                 ends = np.cumsum(counts)
                 rows = [sketches(grams[e - n : e], seeds).view(np.int64).tolist() if n else [] for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts, pa.int32()), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "digest", "n", "buckets"])
-                at = to
 
     own = docs.select("doc_id", F.unhex(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32)).alias("digest"), F.lower("text").cast("binary").alias("words"))
     return own.mapInArrow(run, schema)
@@ -169,9 +164,10 @@ def _sequences(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            ids, data = b.column(0).to_pylist(), b.column(1).to_pylist()
-            rows = [kmers([t])[0].astype(np.uint32).tobytes() for t in data]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.binary())], names=["node", "seq"])
+            for part in slices(b, 1, BLOCK):
+                grams, counts = kmers(part.column(1).to_pylist())
+                rows = np.split(grams.astype(np.uint32), np.cumsum(counts)[:-1])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], names=["node", "seq"])
 
     asked = docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi").dropDuplicates(["doc_id"])
     return asked.select("doc_id", F.lower("text").cast("binary")).mapInArrow(run, "node long, seq binary")
@@ -189,8 +185,8 @@ def _frequencies(sequences: DataFrame) -> np.ndarray:
     def run(batches):
         total = np.zeros(SLOTS, np.int64)
         for b in batches:
-            seqs = b.column(0).to_pylist()
-            if seqs:
+            for part in slices(b, 0, 4 * BLOCK):
+                seqs = part.column(0).to_pylist()
                 total += np.bincount(np.frombuffer(b"".join(seqs), np.uint32) & np.uint32(SLOTS - 1), minlength=SLOTS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["slot", "n"])
@@ -210,14 +206,14 @@ def _prefixes(nodes: DataFrame, least: float) -> DataFrame:
     def run(batches):
         often = shared.value
         for b in batches:
-            kept = []
-            for node, label, seq in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                v = _distinct(seq)
-                n = len(v)
-                at = np.lexsort((v, often[v & np.uint32(SLOTS - 1)]))[: n - int(np.ceil(least * n - 1e-9)) + 1]
-                m = len(at)
-                kept.append((np.full(m, node), np.full(m, label), np.full(m, n), v[at].view(np.int32), np.arange(m), at))
-            if kept:
+            for part in slices(b, 2, 4 * BLOCK):
+                kept = []
+                for node, label, seq in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    v = _distinct(seq)
+                    n = len(v)
+                    at = np.lexsort((v, often[v & np.uint32(SLOTS - 1)]))[: n - int(np.ceil(least * n - 1e-9)) + 1]
+                    m = len(at)
+                    kept.append((np.full(m, node), np.full(m, label), np.full(m, n), v[at].view(np.int32), np.arange(m), at))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*kept, strict=True), types.values(), strict=True)], names=list(types))
 
     return nodes.select("node", "label", "seq").mapInArrow(run, "node long, label long, n int, gram int, rank int, at int")
@@ -241,13 +237,14 @@ def _meeting(prefixes: DataFrame, least: float) -> DataFrame:
 def _verified(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
     """pairs (a, b) of nodes, with the labels they have so far, and their similarity."""
 
-    def run(frames):
-        for f in frames:
-            s = [alike(_distinct(x), _distinct(y), least) for x, y in zip(f["seq_a"], f["seq_b"], strict=True)]
-            yield pd.DataFrame({"a": f["a"], "b": f["b"], "la": f["la"], "lb": f["lb"], "similarity": s})
+    def run(batches):
+        for b in batches:
+            for part in slices(b, 4, 4 * BLOCK):
+                s = [alike(_distinct(x), _distinct(y), least) for x, y in zip(part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(s, pa.float64())], names=["a", "b", "la", "lb", "similarity"])
 
     both = pairs.join(sequences.select(F.col("node").alias("a"), F.col("seq").alias("seq_a")), "a").join(sequences.select(F.col("node").alias("b"), F.col("seq").alias("seq_b")), "b")
-    return both.select("a", "b", "la", "lb", "seq_a", "seq_b").mapInPandas(run, "a long, b long, la long, lb long, similarity double")
+    return both.select("a", "b", "la", "lb", "seq_a", "seq_b").mapInArrow(run, "a long, b long, la long, lb long, similarity double")
 
 
 def components(edges: DataFrame) -> tuple[DataFrame, str]:
