@@ -7,17 +7,19 @@ crosses one. The turns' spans and the tokens' spans are both sorted: a binary se
 whose spans, cut to the turn, carry the loss.
 
 A conversation's turns come together in one task, as one training example has to; conversations aren't grouped further.
-Turns are ordered by (turn, role, text). Null texts and roles count as empty; rows without conv_id form one conversation of
-their own; an empty table gives an empty result; further columns are left behind.
+Turns are ordered by (turn, role, text); repeated rows are repeated turns. Null texts and roles count as empty; each row without
+conv_id is a conversation of its own; an empty table gives an empty result; further columns are left behind. Very long texts
+are rendered whole; a batch holds some 4 MB of text or one conversation.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,43 +89,73 @@ def tokenizer_of(blob: bytes):
 
 
 FORMATTED = "conv_id long, formatted string, token_ids array<int>, token_starts array<int>, token_ends array<int>, loss array<boolean>, loss_starts array<int>, loss_ends array<int>"
+READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, n_loss_tokens long"
+BATCH = 1 << 22
+
+
+def _lists(columns: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    """A list column from an array for each row."""
+    ends = np.cumsum([0, *map(len, columns)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(columns) if columns else [], kind))
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 def format_conversations(turns: DataFrame, tokenizer_path: str) -> DataFrame:
     """One row a conversation: the rendered text, its token ids and spans, the loss mask and the learned part of each token's span."""
     blob = turns.sparkSession.sparkContext.broadcast(read_bytes(tokenizer_path))
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").alias("turn"), empty("role").alias("role"), empty("text").alias("text")).alias("t"))
-    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns")).select("conv_id", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())  # rows without an id don't meet
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), alone.alias("alone"), F.struct(F.col("turn").alias("turn"), empty("role").alias("role"), empty("text").alias("text")).alias("t"))
+    whole = rows.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("t")).alias("turns")).select("conv_id", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        conv, text, ids, *spans = zip(*out, strict=True)
+        kinds = [pa.int32()] * 2 + [pa.bool_()] + [pa.int32()] * 2
+        arrays = [pa.array(conv, pa.int64()), pa.array(text, pa.string()), _lists([np.array(i, np.int32) for i in ids], pa.int32()), *[_lists(list(c), k) for c, k in zip(spans, kinds, strict=True)]]
+        return pa.RecordBatch.from_arrays(arrays, names=_names(FORMATTED))
 
-    def run(frames):
+    def run(batches):
         if _state.get("key") != (tokenizer_path, len(blob.value)):
             _state.update(key=(tokenizer_path, len(blob.value)), tokenizer=tokenizer_of(blob.value))
-        for f in frames:
-            out = []
-            for conv, roles, texts in zip(f["conv_id"], f["roles"], f["texts"], strict=True):
+        for b in batches:
+            out, size = [], 0
+            for k in range(b.num_rows):
+                conv, roles, texts = (c[k].as_py() for c in b.columns)
                 text, spans = render(list(zip(roles, texts, strict=True)))
                 e = _state["tokenizer"].encode(text, add_special_tokens=False)
-                at = np.array(e.offsets, np.int32).reshape(-1, 2)
-                mask, low, high = loss_tokens(at[:, 0], at[:, 1], spans)
-                out.append((conv, text, e.ids, at[:, 0], at[:, 1], mask, low, high))
-            yield pd.DataFrame(out, columns=["conv_id", "formatted", "token_ids", "token_starts", "token_ends", "loss", "loss_starts", "loss_ends"])
+                at = np.fromiter(chain.from_iterable(e.offsets), np.int32).reshape(-1, 2)
+                starts, ends = at[:, 0].copy(), at[:, 1].copy()
+                out.append((conv, text, e.ids, starts, ends, *loss_tokens(starts, ends, spans)))
+                size += len(text)
+                if size >= BATCH:
+                    yield batch(out)
+                    out, size = [], 0
+            if out:
+                yield batch(out)
 
-    return whole.mapInPandas(run, FORMATTED)
+    return whole.mapInArrow(run, FORMATTED)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_tokens, n_loss_tokens: from the output alone."""
 
-    def run(frames):
-        for f in frames:
+    def run(batches):
+        sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
+        for b in batches:
+            text = b.column(1).to_pylist()
+            ends = [b.column(c).offsets.to_numpy() for c in (2, 5, 6, 7)]
+            mask, low, high = (b.column(c).values.to_numpy(zero_copy_only=False) for c in (5, 6, 7))
             out = []
-            for r in f.itertuples():
-                turns = parse(r.formatted)
-                spans = read_loss(r.formatted, np.asarray(r.loss, bool), np.asarray(r.loss_starts), np.asarray(r.loss_ends))
-                learned = "".join(unescape(r.formatted[a:b]) for a, b in spans)
-                sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
-                out.append((r.conv_id, len(turns), sha("".join(f"{role}\n{text}\n" for role, text in turns)), len(learned), sha(learned), len(r.formatted), len(r.token_ids), int(np.sum(r.loss))))
-            yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens", "n_loss_tokens"])
-
-    return formatted.mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, n_loss_tokens long")
+            for k, t in enumerate(text):
+                n, m, x, y = (slice(e[k], e[k + 1]) for e in ends)
+                turns = parse(t)
+                learned = "".join(unescape(t[i:j]) for i, j in read_loss(t, mask[m], low[x], high[y]))
+                out.append((len(turns), sha("".join(f"{role}\n{said}\n" for role, said in turns)), len(learned), sha(learned), len(t), n.stop - n.start, int(np.count_nonzero(mask[m]))))
+            columns = list(zip(*out, strict=True)) if out else [()] * 7
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names=_names(READ))
+
+    return formatted.mapInArrow(run, READ)

@@ -144,13 +144,13 @@ FROM d LEFT JOIN r ON d.doc_id = r.doc_id"""
 CHAT_SQL = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, k, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(k, r)),
-e AS (SELECT *, length(replace(replace(replace(replace(role, '\', '\\'), '<turn>', '<\turn>'), '<says>', '<\says>'), '</turn>', '<\/turn>'))
+e AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, length(replace(replace(replace(replace(role, '\', '\\'), '<turn>', '<\turn>'), '<says>', '<\says>'), '</turn>', '<\/turn>'))
               + length(replace(replace(replace(replace(text, '\', '\\'), '<turn>', '<\turn>'), '<says>', '<\says>'), '</turn>', '<\/turn>')) AS n FROM t)
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(n + length('<turn><says></turn>'))::BIGINT AS formatted_chars
-FROM e GROUP BY conv_id"""
+FROM e GROUP BY conv_id, alone"""
 
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_packing, op3_sharding, op4_suffix_dedup, op5_chat, op6_flac, op7_compression_quality, op8_url_filters, op9_spbpe, op10_quality_rules)}
 ORACLES = {"op4_suffix_dedup": SUFFIX_DEDUP_SQL, "op5_chat": CHAT_SQL, "op3_sharding": sharding_sql(), "op8_url_filters": URL_FILTERS_SQL}
