@@ -7,7 +7,9 @@ difference and the mean size per byte (text that any dictionary compresses far t
 of label 1. Only texts and labels are learned from; ids only choose and split the sample.
 
 Null texts count as empty; an empty text has difference zero, so its score is the curve's value there. Without both labels
-the score is the share of label 1, or one half. Repeated rows are scored each; an empty table gives an empty result.
+the score is the share of label 1, or one half. Repeated rows are scored each, rows without an id keep a null one; an empty table
+gives an empty result. Very long texts are scored whole, block by block, but don't enter the sample. Further columns are left
+behind by score and untouched by keep.
 """
 
 from __future__ import annotations
@@ -82,7 +84,9 @@ def sample(docs: DataFrame, labels: DataFrame, allowed: Column | None, rows: int
     draw = marked.withColumn("draw", F.xxhash64("doc_id"))
     chosen = draw.where("y = 1").orderBy("draw").limit(rows).unionByName(draw.where("y <> 1").orderBy("draw").limit(rows))
     own = docs.select("doc_id", "text").where(F.col("text").isNotNull() & F.length("text").between(1, most_chars))
-    got = own.join(F.broadcast(chosen), "doc_id").select("draw", "doc_id", "y", F.col("text").cast("binary").alias("text")).collect()
+    found = own.join(F.broadcast(chosen), "doc_id").select("draw", "doc_id", "y", F.col("text").cast("binary").alias("text"))
+    order = ["draw", "doc_id", F.xxhash64("text")]  # ids may repeat in either table, so the join is bounded again
+    got = [r for good in (True, False) for r in found.where((F.col("y") == 1) == F.lit(good)).orderBy(*order).limit(rows).collect()]
     return [(bytes(r["text"]), int(r["y"] == 1)) for r in sorted(got, key=lambda r: (r["draw"], r["doc_id"], r["y"], r["text"]))]
 
 

@@ -6,7 +6,8 @@ words, capitals or exclamation marks never raise it. A tree's nodes lie in array
 batch takes a few vector steps per level.
 
 Null texts have no words. Documents without words fail the base rules. Without labels there is no model and the base rules
-decide alone. Ties at a threshold go left. Repeated rows are judged each; an empty table gives an empty result.
+decide alone. Ties at a threshold go left. Repeated rows are judged each, rows without an id keep a null one; an empty table
+gives an empty result. Very long texts are counted whole. Further columns are left behind by the statistics, untouched by keep.
 """
 
 from __future__ import annotations
@@ -196,7 +197,8 @@ def fit(stats: DataFrame, labels: DataFrame, rows: int = 20_000) -> Trees | None
     """Trees grown on the labelled documents with the smallest id hashes, rows of them at most; None without both classes."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("y")).where("y is not null and doc_id is not null")
     chosen = marked.withColumn("draw", F.xxhash64("doc_id")).orderBy("draw", "doc_id", "y").limit(rows)
-    s = stats.join(F.broadcast(chosen), "doc_id").orderBy("draw", "doc_id").toPandas()
+    names = [c for c in stats.columns if c != "doc_id"]
+    s = stats.join(F.broadcast(chosen), "doc_id").orderBy("draw", "doc_id", "y", *names).limit(rows).toPandas()  # ids may repeat in either table
     y = s["y"].to_numpy(float)
     return grow(features(s), y, list(FEATURES.values())) if len(s) and 0 < y.mean() < 1 else None
 
