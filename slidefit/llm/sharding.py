@@ -5,7 +5,8 @@ name). Shards take turns claiming their best free slot, so each gets an equal sh
 removing a shard moves few slots. A document's slot is a hash of its id modulo the table's size; the table is broadcast
 (its size is a parameter, not the data's), so placement is one look-up and nothing is shuffled.
 
-A null id has slot 0. Equal ids share a shard. Null texts have zero bytes. An empty table gives an empty result.
+A null id has slot 0. Equal ids share a shard; repeated rows stay. Texts, null or long, play no part. An empty table gives an
+empty result. Columns named slot and shard are replaced, others untouched.
 """
 
 from __future__ import annotations
@@ -55,7 +56,10 @@ def place(docs: DataFrame, shards: list[str], slots: int = 65537, id_col: str =
     return docs.drop("slot", "shard").withColumn("slot", slot_of(F.col(id_col), slots)).join(F.broadcast(names), "slot", "left")
 
 
-def write_shards(docs: DataFrame, path: str, shards: list[str], slots: int = 65537, files_per_shard: int = 8, id_col: str = "doc_id") -> None:
-    """One folder per shard; each shard's rows are split over several tasks so that no task holds a whole shard."""
-    placed = place(docs, shards, slots, id_col).withColumn("_part", F.pmod(F.xxhash64(F.col(id_col)), F.lit(files_per_shard)))
-    placed.repartition("shard", "_part").drop("_part", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: list[str], slots: int = 65537, files_per_shard: int | None = None, id_col: str = "doc_id") -> None:
+    """One folder per shard. Each shard's rows are dealt to several tasks, in all some four times the shuffle partitions unless
+    files_per_shard is given, by a hash of the whole row: those of one id, or none, are dealt too."""
+    files = files_per_shard or max(8, -(-4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // len(shards)))
+    placed = place(docs, shards, slots, id_col).drop("slot")
+    deal = F.pmod(F.xxhash64(*[F.col(c) for c, kind in placed.dtypes if "map<" not in kind]), F.lit(files))
+    placed.repartition("shard", deal).write.partitionBy("shard").parquet(path)
