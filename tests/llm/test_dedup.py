@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from slidefit.llm import near_dedup, suffix_dedup
+from slidefit.llm import near_dedup, prefix_doubling, suffix_dedup
 
 
 def brute_repeats(texts):
@@ -188,3 +188,18 @@ def test_chunks_of_hot_ids():
     cuts, first, parts = suffix_dedup._deal([3, 7, 7, 7, 9, suffix_dedup.LAST, suffix_dedup.LAST])
     assert cuts.tolist() == [3, 7, 8, 9, suffix_dedup.LAST] and parts.tolist() == [1, 1, 4, 1, 1, 3] and first.tolist() == [0, 1, 2, 6, 7, 8]
     assert suffix_dedup._deal([])[2].tolist() == [1]
+
+
+def test_prefix_doubling_by_brute_force(spark):
+    """Spark's sorted ranks give the same bytes as brute force, and so as the packed form."""
+    texts = corpus(np.random.default_rng(3))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    starts = collections.defaultdict(list)
+    for r in prefix_doubling.repeated_starts(df).collect():
+        starts[r.doc].append(r["at"])
+    for d, want in brute_repeats(texts).items():
+        b = (texts[d] or "").encode()
+        gone = np.zeros(len(b), bool)
+        for i in starts[d]:
+            gone[i : i + 50] = True
+        assert (int(gone.sum()), hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()) == (want[1], want[3]), d
