@@ -4,21 +4,30 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import arrays as la
+from .windowed import BLOCK, with_halo
+
+
+def _log_ratio(j1: Column, j0: Column, log) -> Column:
+    """log(j1 / j0) of costs. A cost that isn't positive counts as zero: rounding may leave a perfect fit just under it. With
+    both zero neither side is preferred; one alone gives an infinity; null stays null."""
+    one, other = F.lit(float("-inf")), F.lit(float("inf"))
+    return F.when((j1 <= 0) & (j0 <= 0), 0.0).when(j1 <= 0, one).when(j0 <= 0, other).otherwise(log(F.try_divide(j1, j0)))
 
 
 def lcr(j0: Column, j1: Column) -> Column:
-    """Log-cost ratio -1/2 ln(J1 / J0): how much better hypothesis 1 explains the window."""
-    return F.log(j1 / j0) * -0.5
+    """Log-cost ratio -1/2 ln(J1 / J0): how much better hypothesis 1 explains the window. 0 if both costs are zero."""
+    return _log_ratio(j1, j0, F.log) * -0.5
 
 
 def lcr10(j0: Column, j1: Column) -> Column:
     """The base-10 form with the operands as -1/2 log10(J1 / J0)."""
-    return F.log10(j1 / j0) * -0.5
+    return _log_ratio(j1, j0, F.log10) * -0.5
 
 
 def hypotheses(estimator, df: DataFrame, H1, H0, h1=None, h0=None, name: str = "lcr") -> DataFrame:  # noqa: N803
@@ -36,11 +45,24 @@ def zeroed(x: Column, n: int, indices) -> Column:
 
 
 def shape_match(estimator, df: DataFrame, template, H=None, name: str = "match") -> DataFrame:  # noqa: N803
-    """J_0 / J_A: the cost of no signal over the cost of a template scaled (or H with the template as its offset)."""
+    """J_0 / J_A: the cost of no signal over the cost of a template scaled (or H with the template as its offset). 1 if both are
+    zero, infinite if the template alone leaves none."""
     template = np.ravel(np.asarray(template, float))
     basis, offset = (template[:, None], None) if H is None else (H, template)
     out = estimator.eval_errors(estimator.minimize_x(df, basis, offset, name="x_template"), "x_template", "J_A")
-    return out.withColumn(name, F.col("kappa") / F.col("J_A"))
+    none, left = F.col("kappa") <= 0, F.col("J_A") <= 0
+    return out.withColumn(name, F.when(none & left, 1.0).when(left, float("inf")).otherwise(F.try_divide("kappa", "J_A")))
+
+
+def known_shape(estimator, df: DataFrame, shape, name: str = "lcr") -> DataFrame:
+    """A shape of fixed states (the first len(shape) ones) on what the other states explain, against those alone: x1, x0, J1, J0
+    and -1/2 ln(J1 / J0). x0 keeps the other states of x1, so the ratio tells what the shape itself brings."""
+    shape, n = np.ravel(np.asarray(shape, float)), estimator.n
+    free = np.eye(n)[:, len(shape) :]
+    out = estimator.minimize_x(df, free, np.concatenate([shape, np.zeros(n - len(shape))]), name="x1")
+    out = out.withColumn("x0", zeroed(F.col("x1"), n, range(len(shape))))
+    out = estimator.eval_errors(estimator.eval_errors(out, "x1", "J1"), "x0", "J0")
+    return out.withColumn(name, lcr(F.col("J0"), F.col("J1")))
 
 
 def argmax(df: DataFrame, score: str, keys=("series_id",), order: str = "k") -> DataFrame:
@@ -91,15 +113,26 @@ def energy(df: DataFrame, j_columns, channel: str, keys=("series_id",), order: s
 
 
 def channel_covariance(df: DataFrame, channel: str, order: str = "k", y: str = "y", keys=()) -> np.ndarray:
-    """Sample covariance between channels 0 .. M-1: one aggregate per pair over the pivoted signal; an M x M matrix."""
+    """Sample covariance between channels, in their order, over the samples at which both have a value: partial sums of products
+    by Arrow batch, added up by Spark; an M x M matrix comes to the driver."""
     names = [r[0] for r in df.select(channel).distinct().orderBy(channel).collect()]
-    wide = df.groupBy(*keys, order).pivot(channel, names).agg(F.first(y))
-    c = [F.col(f"`{n}`") for n in names]
-    row = wide.agg(*[F.covar_samp(c[i], c[j]).alias(f"c{i}_{j}") for i in range(len(c)) for j in range(i, len(c))]).first()
-    out = np.zeros((len(c), len(c)))
-    for i in range(len(c)):
-        for j in range(i, len(c)):
-            out[i, j] = out[j, i] = row[f"c{i}_{j}"]
+    m = len(names)
+    wide = df.groupBy(*keys, order).pivot(channel, names).agg(F.first(y)).select(*[F.col(f"`{n}`").cast("double") for n in names])
+
+    def partial(batches):
+        sums = np.zeros((4, m, m))
+        for b in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns], 1)
+            has = ~np.isnan(x)
+            x, one = np.where(has, x, 0.0), has.astype(float)
+            sums += [one.T @ one, x.T @ one, one.T @ x, x.T @ x]
+        i, j = np.divmod(np.arange(m * m), max(m, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (i.astype(np.int32), j.astype(np.int32), *sums.reshape(4, -1))], names=["i", "j", "n", "si", "sj", "sij"])
+
+    total = wide.mapInArrow(partial, "i int, j int, n double, si double, sj double, sij double").groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "sij")]).toPandas()
+    out = np.full((m, m), np.nan)
+    some = total[total["n"] > 1]
+    out[some["i"], some["j"]] = (some["sij"] - some["si"] * some["sj"] / some["n"]) / (some["n"] - 1)
     return out
 
 
@@ -108,16 +141,33 @@ def matched_filter(estimator, df: DataFrame, template, covariance, channel: str,
     return estimator.convolve(df, np.linalg.pinv(covariance) @ np.asarray(template, float), name, over=(channel,))
 
 
-def double_window(df: DataFrame, transition, gamma: float, length: int, xi: str = "xi", keys=("series_id",), order: str = "k", name: str | None = None) -> DataFrame:
+def _moved(df: DataFrame, steps: dict[str, int], xi: str, n: int, keys, order: str, block: int) -> DataFrame:
+    """df with the states of other samples, zeros off the series; series are cut into blocks with a halo."""
+    before, after = max(0, -min(steps.values())), max(0, max(steps.values()))
+    cut = with_halo(df, order, max(block, 2 * (before + after)), before, after)
+    w = Window.partitionBy(*keys, "_block").orderBy(order)
+    return cut.withColumns({c: F.coalesce(F.lead(xi, s).over(w) if s > 0 else F.lag(xi, -s).over(w), la.zeros(n)) for c, s in steps.items()}).where("_own").drop("_block", "_own")
+
+
+def double_window(df: DataFrame, transition, gamma: float, length: int, xi: str = "xi", keys=("series_id",), order: str = "k", name: str | None = None, block: int = BLOCK) -> DataFrame:
     """xi over twice the window: xi[k] + gamma^L (A^L)' xi[k + L], for windows that start at offset 0 or later."""
     a = np.linalg.matrix_power(np.asarray(transition, float), length)
-    w = Window.partitionBy(*keys).orderBy(order)
-    n = len(a)
-    out = df.withColumn("_far", F.coalesce(F.lead(xi, length).over(w), la.zeros(n)))
-    far = gamma**length * a.T
+    n, far = len(a), gamma**length * a.T
+    out = _moved(df, {"_far": length}, xi, n, keys, order, block)
     return out.withColumn(name or xi, F.array(*[F.col(xi)[i] + la.dot_literal(F.col("_far"), far[i]) for i in range(n)])).drop("_far")
 
 
+def double_centred_window(df: DataFrame, transition, gamma: float, length: int, xi: str = "xi", keys=("series_id",), order: str = "k", name: str | None = None, block: int = BLOCK) -> DataFrame:
+    """xi over [-L, L - 1] from that over [-L/2, L/2 - 1]: the window moved by half its length to either side."""
+    if length % 2:
+        raise ValueError("a centred window has an even length")
+    half = length // 2
+    a = np.linalg.matrix_power(np.asarray(transition, float), half)
+    n, right, left = len(a), gamma**half * a.T, gamma**-half * np.linalg.inv(a).T
+    out = _moved(df, {"_right": half, "_left": -half}, xi, n, keys, order, block)
+    return out.withColumn(name or xi, F.array(*[la.dot_literal(F.col("_right"), right[i]) + la.dot_literal(F.col("_left"), left[i]) for i in range(n)])).drop("_right", "_left")
+
+
 def double_gram(W, transition, gamma: float, length: int) -> np.ndarray:  # noqa: N803
     """W over twice the window."""
     a = np.linalg.matrix_power(np.asarray(transition, float), length)

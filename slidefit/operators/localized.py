@@ -43,6 +43,8 @@ def grid(template: pl.Poly, n: int, a: float, b: float, shifts, stretches=(1.0,)
             c = np.bincount(moved.expo, moved.coef, n)
             if len(c) > n:
                 raise ValueError("the template's degree exceeds the fit's")
+            if not c @ m @ c > 0:
+                raise ValueError("the template is zero over the interval")
             out.append((float(s), float(eta), m @ c, float(c @ m @ c)))
     return out
 
