@@ -1,7 +1,8 @@
 """Signals in header-less comma-separated text, one column per channel and one row per sample.
 
 Files are read in splits; a sample's index is the number of lines before it, from counts per split (small) and a rank
-within each split, so no task reads a whole file. Cells that aren't numbers are NaN.
+within each split, so no task reads a whole file. Several files of a folder follow one another in the order of their paths.
+Cells that are missing or aren't numbers are NaN; blank lines don't count; an empty file gives no rows.
 """
 
 from __future__ import annotations
@@ -11,25 +12,26 @@ from pyspark.sql import functions as F
 
 
 def numbered(lines: DataFrame, name: str = "k") -> DataFrame:
-    """lines with a dense index in the order of the file."""
-    parted = lines.withColumns({"_id": F.monotonically_increasing_id(), "_part": F.spark_partition_id()})
-    within = parted.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy("_id")) - 1)
-    counts = parted.groupBy("_part").count()
-    before = counts.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return within.join(before, "_part").withColumn(name, F.col("_rank") + F.col("_before")).drop("_id", "_part", "_rank", "_before")
+    """lines (value, _file, _start: file and place of the split) with a dense index in the order of the files."""
+    split = ["_file", "_start"]
+    within = lines.withColumn("_id", F.monotonically_increasing_id()).withColumn("_rank", F.row_number().over(Window.partitionBy(*split).orderBy("_id")) - 1)
+    counts = lines.groupBy(*split).count()
+    before = counts.select(*split, F.coalesce(F.sum("count").over(Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row per split
+    return within.join(before, split).withColumn(name, F.col("_rank") + F.col("_before")).drop("_id", "_rank", "_before", *split)
 
 
 def load_csv_mc(spark: SparkSession, path: str, K: int = -1, k_start: int = 0, channels=None, ds_rate: int = 1, delimiter: str = ",", skip_header: int = 0) -> DataFrame:  # noqa: N803
     """(k, y0, y1, ...): K input rows (all if negative) from k_start on, every ds_rate-th of them, numbered anew."""
-    lines = numbered(spark.read.text(path).where(F.length(F.trim("value")) > 0), "_line")
-    width = len((spark.read.text(path).where(F.length(F.trim("value")) > 0).limit(skip_header + 1).collect() or [[""]])[-1][0].split(delimiter))
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")).where(F.length(F.trim("value")) > 0)
+    lines = numbered(text, "_line")
+    width = len((text.select("value").limit(skip_header + 1).collect() or [[""]])[-1][0].split(delimiter))
     first = k_start + skip_header
     chosen = lines.where((F.col("_line") >= first) & ((F.col("_line") - first) % ds_rate == 0))
     if K >= 0:
         chosen = chosen.where(F.col("_line") < first + K)
     cells = F.split("value", "\\Q" + delimiter + "\\E")
     wanted = range(width) if channels is None else channels
-    number = lambda c: F.coalesce(F.expr(f"try_cast(trim(_cells[{c}]) as double)"), F.lit(float("nan")))
+    number = lambda c: F.coalesce(F.expr(f"try_cast(trim(try_element_at(_cells, {int(c) + 1})) as double)"), F.lit(float("nan")))
     return chosen.withColumn("_cells", cells).select(((F.col("_line") - first) / ds_rate).cast("long").alias("k"), *[number(c).alias(f"y{i}") for i, c in enumerate(wanted)])
 
 

@@ -1,7 +1,7 @@
 """Synthetic signals as tables (k, y): column formulas over range(K), so any length is made in parallel.
 
-Signals with a history (steps, walks) use running windows per series. Noise comes from the engine's own seeded streams, so
-values differ from those of other libraries with the same seed.
+Signals with a history (steps, slopes, walks) are running sums within blocks of samples plus the blocks' offsets. Random draws
+are digests of seed and sample, so a signal is the same on any cluster; other libraries' values with that seed differ.
 """
 
 from __future__ import annotations
@@ -10,7 +10,27 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-K = F.col
+
+
+def draw(seed: int, stream: int) -> Column:
+    """A uniform number in (0, 1) for each k: 52 bits of a digest."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:{stream}:"), F.col("k").cast("string")))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+def _seed(seed: int | None) -> int:
+    return int(np.random.default_rng().integers(1 << 62)) if seed is None else int(seed)
+
+
+def running(df: DataFrame, values: dict[str, Column], length: int, blocks: int = 64) -> DataFrame:
+    """df (k) with running sums: within blocks, then the blocks' offsets, a row for each of at most that many blocks."""
+    size = max(1, -(-int(length) // blocks))
+    w = Window.partitionBy("_b").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    cut = df.withColumns({**{f"_{n}": c for n, c in values.items()}, "_b": F.floor(F.col("k") / size)})
+    offsets = cut.groupBy("_b").agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in values]).select("_b", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0.0)).alias(f"_o{n}") for n in values])
+    within = cut.select("*", *[F.sum(f"_{n}").over(w).alias(f"_w{n}") for n in values])
+    return within.join(offsets, "_b").select(*df.columns, *[(F.col(f"_w{n}") + F.col(f"_o{n}")).alias(n) for n in values])
 
 
 def index(spark: SparkSession, length: int) -> DataFrame:
@@ -85,41 +105,48 @@ def gen_steps(spark, length, ks, deltas) -> DataFrame:
     """Level changes of deltas at ks, accumulated; of repeated positions the last counts."""
     _inside(length, ks)
     last = dict(zip(ks, deltas, strict=True))
-    marks = _knots(spark, list(last), list(last.values()))
-    w = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    levels = marks.select(F.col("k").alias("from"), F.sum("v").over(w).alias("level"), F.lead("k").over(Window.orderBy("k")).alias("to"))  # a row per step
-    return index(spark, length).join(F.broadcast(levels), (F.col("k") >= F.col("from")) & (F.col("to").isNull() | (F.col("k") < F.col("to"))), "left").select("k", F.coalesce("level", F.lit(0.0)).alias("y"))
+    marked = index(spark, length).join(_knots(spark, list(last), list(last.values())), "k", "left")
+    return running(marked.select("k", F.coalesce("v", F.lit(0.0)).alias("step")), {"y": F.col("step")}, length).select("k", "y")
 
 
 def gen_slopes(spark, length, ks, deltas) -> DataFrame:
-    """Straight lines through (ks, accumulated deltas), constant outside."""
+    """Straight lines through (ks, accumulated deltas), constant outside: running sums of the changes of slope and intercept."""
     k, v = np.asarray(ks, float), np.cumsum(np.asarray(deltas, float))
-    out = F.when(F.col("k") <= float(k[0]), F.lit(float(v[0])))
-    for i in range(len(k) - 1):
-        out = out.when(F.col("k") <= float(k[i + 1]), F.lit(float(v[i])) + (F.col("k") - float(k[i])) * float((v[i + 1] - v[i]) / (k[i + 1] - k[i])))
-    return index(spark, length).select("k", out.otherwise(float(v[-1])).alias("y"))
+    slope = np.r_[np.diff(v) / np.diff(k), 0.0] if len(k) > 1 else np.zeros(1)
+    level = v - slope * k
+    at = np.maximum(np.ceil(k), 0)
+    changes = spark.createDataFrame([(int(a), float(s), float(c)) for a, s, c in zip(at, np.diff(slope, prepend=0.0), np.diff(level, prepend=v[0]), strict=True)], "k long, slope double, level double").groupBy("k").agg(F.sum("slope").alias("slope"), F.sum("level").alias("level"))
+    marked = index(spark, length).join(changes, "k", "left").select("k", F.coalesce("slope", F.lit(0.0)).alias("ds"), F.coalesce("level", F.lit(0.0)).alias("dl"))
+    out = running(marked, {"slope": F.col("ds"), "level": F.col("dl")}, length)
+    return out.select("k", (F.lit(float(v[0])) + F.col("level") + F.col("slope") * F.col("k")).alias("y"))
+
+
+def _normal(seed: int) -> Column:
+    """Box and Muller's Gaussian from two uniform draws."""
+    return F.sqrt(F.log(draw(seed, 0)) * -2.0) * F.cos(draw(seed, 1) * F.lit(2 * np.pi))
 
 
 def gen_wgn(spark, length, sigma: float, seed: int | None = None) -> DataFrame:
     """Gaussian noise."""
-    return index(spark, length).select("k", (F.randn(seed) * float(sigma)).alias("y"))
+    return index(spark, length).select("k", (_normal(_seed(seed)) * float(sigma)).alias("y"))
 
 
 def gen_rand_walk(spark, length, seed: int | None = None, blocks: int = 64) -> DataFrame:
-    """A running sum of uniform steps with the sign of Gaussian draws: sums within blocks, then the blocks' offsets."""
-    size = max(1, -(-int(length) // blocks))
-    steps = index(spark, length).withColumns({"_s": F.signum(F.randn(seed)) * F.rand(None if seed is None else seed + 1), "_b": F.floor(F.col("k") / size)})
-    within = steps.withColumn("_w", F.sum("_s").over(Window.partitionBy("_b").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)))
-    ends = within.groupBy("_b").agg(F.max_by("_w", "k").alias("_e"))
-    before = ends.select("_b", F.coalesce(F.sum("_e").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_o"))  # a row per block
-    return within.join(F.broadcast(before), "_b").select("k", (F.col("_w") + F.col("_o")).alias("y"))
+    """A running sum of uniform steps of random sign."""
+    seed = _seed(seed)
+    step = F.when(draw(seed, 0) < 0.5, -1.0).otherwise(1.0) * draw(seed, 1)
+    return running(index(spark, length), {"y": step}, length, blocks)
 
 
 def gen_rand_pulse(spark, length, n_pulses: int, pulse_length: int = 1, seed: int | None = None, channels: int | None = None) -> DataFrame:
-    """n_pulses at random positions, each a box of pulse_length around it ('same' alignment); overlapping boxes add up."""
-    at = np.random.default_rng(seed).choice(length, n_pulses, replace=False)
+    """n_pulses at different random positions (those of the smallest draws), each a box of pulse_length around it ('same'
+    alignment); overlapping boxes add up. Channels share the positions."""
+    if not 0 <= n_pulses <= length:
+        raise ValueError("n_pulses must lie in [0, K]")
+    seed = _seed(seed)
     back = (pulse_length - 1) // 2
-    marks = _knots(spark, at, np.ones(n_pulses)).select(F.explode(F.sequence(F.col("k") - (pulse_length - 1 - back), F.col("k") + back)).alias("k")).groupBy("k").agg(F.count("*").cast("double").alias("v"))
+    at = index(spark, length).withColumn("_d", draw(seed, 0)).orderBy("_d", "k").limit(int(n_pulses))
+    marks = at.select(F.explode(F.sequence(F.col("k") - (pulse_length - 1 - back), F.col("k") + back)).alias("k")).groupBy("k").agg(F.count("*").cast("double").alias("v"))
     out = index(spark, length).join(marks, "k", "left").select("k", F.coalesce("v", F.lit(0.0)).alias("y"))
     return out if channels is None else out.withColumn("ch", F.explode(F.array(*[F.lit(c) for c in range(channels)])))
 
