@@ -234,25 +234,33 @@ def scan_array(t: Term, v: np.ndarray) -> np.ndarray:
                 out[lo:hi] += v[lo + j : hi + j, None] * r
         return out
     if t.a == -np.inf:  # S[k] = decayed S[k-1] + what enters at k + b
-        step, edge, b = power(t.transition, -1).T / t.gamma, t.row(int(t.b)), int(t.b)
-        state = np.zeros(t.n)
-        for k in range(min(0, -b), size):
-            if 0 <= k + b < size:
-                state = step @ state + edge * v[k + b]
-            else:
-                state = step @ state
-            if k >= 0:
-                out[k] = state
-        return out
-    step, edge, a = t.gamma * t.transition.T, t.row(int(t.a)), int(t.a)
-    state = np.zeros(t.n)
-    for k in range(max(size - 1, size - 1 - a), -1, -1):
-        state = step @ state + (edge * v[k + a] if 0 <= k + a < size else 0)
-        if k < size:
-            out[k] = state
+        step, b = power(t.transition, -1).T / t.gamma, int(t.b)
+        entering = np.outer(_between(v, b, size + max(0, b)), t.row(b))  # samples before the series only if b reaches ahead
+        return recurrence(step, entering)[-size:] if size else out
+    step, a = t.gamma * t.transition.T, int(t.a)
+    entering = np.outer(_between(v[::-1], -a, size + max(0, -a)), t.row(a))
+    return recurrence(step, entering)[-size:][::-1] if size else out
+
+
+def _between(v: np.ndarray, ahead: int, length: int) -> np.ndarray:
+    """What enters at each of the last len(v) samples and, if samples ahead enter, at those before: v moved back by ahead."""
+    out = np.zeros(length)
+    if ahead >= 0:
+        out[: len(v)] = v
+    elif -ahead < len(v):
+        out[-ahead:] = v[:ahead]
     return out
 
 
+def recurrence(step: np.ndarray, entering: np.ndarray) -> np.ndarray:
+    """states[i] = step states[i - 1] + entering[i], by doubling: log2(n) passes over the whole array."""
+    states, d = entering.copy(), 1
+    while d < len(states):
+        states[d:] += states[:-d] @ step.T
+        step, d = step @ step, 2 * d
+    return states
+
+
 def _scan(df: DataFrame, terms: list[Term], keys: list[str], order: str) -> DataFrame:
     names = list(dict.fromkeys(t.name for t in terms))
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.ArrayType(T.DoubleType())) for n in names]])
@@ -321,23 +329,17 @@ def scan_blocks(df: DataFrame, terms: list[Term], keys: list[str], order: str =
         lo = int(f["_block"].iloc[0]) * size
         k = f[order].to_numpy(np.int64)
         v = np.nan_to_num(f[values].to_numpy(float))
-        entering: dict[int, np.ndarray] = {}
-        for at, x in zip((k - edge).tolist(), v, strict=True):
-            if lo <= at < lo + size:
-                e = np.concatenate([r * c for r, c in zip(rows, x, strict=True)])
-                entering[at] = entering[at] + e if at in entering else e
-        wanted = [x for x in k.tolist() if lo <= x < lo + size]
-        seen = [*entering, *wanted]
-        state, states = np.zeros(len(step)), {}
-        if seen:
-            start, stop = min(seen), max(seen)
-            for x in range(stop, start - 1, -1) if ahead else range(start, stop + 1):
-                state = step @ state
-                if x in entering:
-                    state = state + entering[x]
-                states[x] = state
-            state = np.linalg.matrix_power(step, start - lo if ahead else lo + size - 1 - stop) @ state
-        f["_local"] = [states.get(x) for x in k.tolist()]
+        at, mine = k - edge, (k >= lo) & (k < lo + size)
+        inside = (at >= lo) & (at < lo + size)
+        state, states, start = np.zeros(len(step)), np.zeros((0, len(step))), 0
+        if mine.any() or inside.any():
+            seen = np.concatenate([at[inside], k[mine]])
+            start, stop = int(seen.min()), int(seen.max())
+            entering = np.zeros((stop - start + 1, len(step)))
+            np.add.at(entering, at[inside] - start, np.concatenate([np.outer(v[inside, i], r) for i, r in enumerate(rows)], 1))
+            states = recurrence(step, entering[::-1])[::-1] if ahead else recurrence(step, entering)
+            state = np.linalg.matrix_power(step, start - lo if ahead else lo + size - 1 - stop) @ states[0 if ahead else -1]
+        f["_local"] = [states[x - start] if own else None for x, own in zip(k.tolist(), mine.tolist(), strict=True)]
         f["_out"] = [state] * len(f)
         return f[[*columns, "_local", "_out"]]
 

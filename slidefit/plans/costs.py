@@ -195,22 +195,18 @@ class ConstrainMatrix:
         print(self._ties)
 
 
-def _selection(*rows) -> np.ndarray:
-    return np.array(rows, float)
-
-
 class TSLM:
     """Two-sided line model: a line on either side of the anchor; states (left offset, left slope, right offset, right slope)."""
 
     # fixed values: which parameters each state takes
-    H_Free = _selection([1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1])
-    H_Continuous = _selection([1, 0, 0], [0, 1, 0], [1, 0, 0], [0, 0, 1])
-    H_Straight = _selection([1, 0], [0, 1], [1, 0], [0, 1])
-    H_Horizontal = _selection([1], [0], [1], [0])
-    H_Left_Horizontal = _selection([1, 0], [0, 0], [1, 0], [0, 1])
-    H_Right_Horizontal = _selection([1, 0], [0, 1], [1, 0], [0, 0])
-    H_Peak = _selection([1, 0], [0, 1], [1, 0], [0, -1])
-    H_Step = _selection([1, 0], [0, 0], [0, 1], [0, 0])
+    H_Free = np.array([[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]], float)
+    H_Continuous = np.array([[1, 0, 0], [0, 1, 0], [1, 0, 0], [0, 0, 1]], float)
+    H_Straight = np.array([[1, 0], [0, 1], [1, 0], [0, 1]], float)
+    H_Horizontal = np.array([[1], [0], [1], [0]], float)
+    H_Left_Horizontal = np.array([[1, 0], [0, 0], [1, 0], [0, 1]], float)
+    H_Right_Horizontal = np.array([[1, 0], [0, 1], [1, 0], [0, 0]], float)
+    H_Peak = np.array([[1, 0], [0, 1], [1, 0], [0, -1]], float)
+    H_Step = np.array([[1, 0], [0, 0], [0, 1], [0, 0]], float)
 
     @staticmethod
     def create_cost(ab, gs) -> CompositeCost:

@@ -11,6 +11,8 @@ from math import comb
 import numpy as np
 from numpy.polynomial import legendre
 
+from . import check
+
 
 def power(a: np.ndarray, j: int) -> np.ndarray:
     """Integer matrix powers, negative ones by the inverse."""
@@ -32,8 +34,8 @@ class ModelBase:
     basis: str | None = None  # names a known structure for the steady-state Gram matrix
 
     def __init__(self, label: str = "n/a", force_MC: bool = False, alssms=(), lambdas=None):  # noqa: N803
-        if not isinstance(label, str):
-            raise TypeError("label must be a string")
+        if not check.is_string(label):
+            raise TypeError("label must be a string." + check.info_str_found_type(label))
         self.label, self.force_MC = label, bool(force_MC)
         self.alssms = list(alssms)
         if not all(isinstance(m, ModelBase) for m in self.alssms):
