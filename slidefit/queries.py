@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import oracles as sq
 from .functions import poly as pl
 from .operators import detect, localized, placement
 from .operators.estimator import Estimator
@@ -15,6 +16,7 @@ from .operators.windowed import Term, windowed_sums
 from .plans import costs, gram, models
 from .plans.segments import Segment
 from .sources import generators as gen
+from .sources.order import numbered
 
 EVENTS = "SELECT event_type AS series_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS k, value / 100 AS y FROM events"
 DAILY = "SELECT 'orders' AS series_id, row_number() OVER (ORDER BY d) - 1 AS k, y FROM (SELECT o_orderdate::DATE AS d, sum(o_totalprice) / 1e6 AS y FROM orders GROUP BY 1)"
@@ -26,10 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a type in time order: series_id, k, y."""
-    own = table(spark, sf_dir, "events").select(F.col("event_type").alias("series_id"), "ts", "event_id", (F.col("value") / 100).alias("y"))
-    # the same key as the fits', so that both share one exchange
-    w = Window.partitionBy("series_id").orderBy("ts", "event_id")
-    return own.select("series_id", (F.row_number().over(w) - 1).cast("long").alias("k"), "y")
+    own = table(spark, sf_dir, "events").select(F.col("event_type").alias("series_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", (F.col("value") / 100).alias("y"))
+    return numbered(own, ["series_id"], "ts", "event_id").select("series_id", "k", "y")
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,56 +42,26 @@ def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in columns})
 
 
-# SQL of the definitions
+# SQL of the definitions: formulas of each cost's windows and bases, apart from the engine's
 
 
-def _num(v: float) -> str:
-    """A literal that SQL takes as a double, not as a decimal."""
-    text = repr(float(v))
-    return text if "e" in text else f"{text}e0"
-
-
-def weights_sql(cost, what: str = "xi") -> tuple[str, int]:
-    """VALUES (j, r0, r1, ...) of a finite cost: the sum over segments of the weights at offset j."""
-    rows: dict[int, np.ndarray] = {}
-    for m, s, beta in cost.cells():
-        for j in range(int(s.a), int(s.b) + 1):
-            g = beta * s.gamma ** (j - s.delta)
-            r = np.ravel(m.output_row(j))
-            v = g * (r if what == "xi" else np.outer(r, r).ravel())
-            rows[j] = rows.get(j, 0) + np.r_[g, v]
-    body = ", ".join(f"({j}, {', '.join(_num(x) for x in v)})" for j, v in sorted(rows.items()))
-    return body, len(next(iter(rows.values()))) - 1
-
-
-def filter_sql(cost, signal: str) -> str:
-    """CTEs sig and f(series_id, k, y, kappa, nu, xi0, xi1, ...)."""
-    body, n = weights_sql(cost)
-    cols = ", ".join(f"coalesce(sum(b.y * r.r{i}), 0) AS xi{i}" for i in range(n))
-    names = ", ".join(f"r{i}" for i in range(n))
-    return f"""WITH sig AS ({signal}), r(j, g, {names}) AS (VALUES {body}),
-f AS (SELECT a.series_id, a.k, any_value(a.y) AS y, coalesce(sum(b.y * b.y * r.g), 0) AS kappa, coalesce(sum(CASE WHEN b.y IS NOT NULL THEN r.g END), 0) AS nu, {cols}
-      FROM sig a CROSS JOIN r LEFT JOIN sig b ON b.series_id = a.series_id AND b.k = a.k + r.j GROUP BY a.series_id, a.k)"""
-
-
-def linear_sql(row, prefix: str = "xi", constant: float = 0.0) -> str:
-    parts = [f"{_num(c)} * {prefix}{i}" for i, c in enumerate(np.ravel(row)) if c]
-    return "(" + " + ".join([*parts, *([_num(constant)] if constant or not parts else [])]) + ")"
-
-
-def state_sql(est: Estimator, H=None, h=None, prefix: str = "x") -> str:  # noqa: N803
-    gain, constant = est.solution(H, h)
-    H, h = est._projection(H, h)  # noqa: N806
-    return ", ".join(f"{linear_sql(r, 'xi', c)} AS {prefix}{i}" for i, (r, c) in enumerate(zip(H @ gain, H @ constant + h, strict=True)))
-
-
-def error_sql(est: Estimator, prefix: str = "x") -> str:
-    W = est.W  # noqa: N806
-    return "kappa + " + " + ".join(f"{prefix}{i} * ({linear_sql(W[i], prefix)} - 2 * xi{i})" for i in range(est.n))
+def r_sql(expr: str, digits: int, name: str) -> str:
+    return sq.rounded(expr, digits, name)
 
 
-def r_sql(expr: str, digits: int, name: str) -> str:
-    return f"round({expr}, {digits}) + 0.0 AS {name}"
+LINES = sq.MONOMIALS[:2]
+LINE_SQL = [sq.Part(-10, -1, sq.forward(20), LINES)]
+FIT2_SQL = [sq.Part(-10, -1, sq.forward(10), sq.MONOMIALS[:3]), sq.Part(0, 10, sq.backward(10), sq.MONOMIALS[:3])]
+EDGE_SQL = [sq.Part(-20, -1, sq.forward(20), ("1", "j", "0", "0")), sq.Part(0, 19, sq.backward(20), ("0", "0", "1", "j"))]
+SAVGOL_SQL = [[sq.Part(-7, 7, sq.backward(1e6), sq.MONOMIALS[:n])] for n in (1, 2, 3)]
+PULSE_SQL = [sq.Part(-15, -1, sq.forward(30), ("1", "j", "0")), sq.Part(0, 5, sq.backward(30), ("1", "j", "1"), beta=2.0), sq.Part(6, 20, sq.backward(30), ("1", "j", "0"))]
+WAVE_SQL = [sq.Part(-12, 12, sq.backward(20), ("pow(0.99, j) * cos(0.5 * j)", "-pow(0.99, j) * sin(0.5 * j)", "pow(0.95, j)"))]
+PROD_SQL = [sq.Part(0, 12, sq.backward(15), ("pow(0.9, j)", "pow(0.9, j) * j"), beta=0.5)]
+JORDAN_SQL = [sq.Part(-8, 8, sq.backward(40), ("1", "j", "j * (j - 1) / 2", "j * (j - 1) * (j - 2) / 6"))]
+LEGENDRE_SQL = [sq.Part(-8, 8, sq.backward(40), ("1", "j / 8e0", "(3 * pow(j / 8e0, 2) - 1) / 2", "(5 * pow(j / 8e0, 3) - 3 * (j / 8e0)) / 2"))]
+LONG_SQL = [sq.Part(0, 127, sq.backward(100), LINES)]
+SMALL_SQL = [sq.Part(-5, -1, sq.forward(10), LINES), sq.Part(0, 5, sq.backward(10), LINES)]
+EMB_PART = [sq.Part(-4, 4, sq.backward(10), LINES)]
 
 
 # costs of the queries
@@ -134,7 +104,7 @@ def _spread(df: DataFrame, names: list[str], digits: int = 6, **arrays) -> DataF
     return df.select(*out)
 
 
-@query(f"{filter_sql(LINE, EVENTS)} SELECT series_id, k, {r_sql('kappa', 6, 'kappa')}, {r_sql('nu', 6, 'nu')}, {r_sql('xi0', 6, 'xi0')}, {r_sql('xi1', 5, 'xi1')} FROM f")
+@query(f"WITH {sq.sums(LINE_SQL, EVENTS)} SELECT series_id, k, {r_sql('kappa', 6, 'kappa')}, {r_sql('nu', 6, 'nu')}, {r_sql('xi0', 6, 'xi0')}, {r_sql('xi1', 5, 'xi1')} FROM f")
 def xi_window_sum(spark, sf):
     """The estimator's windowed sums over a forward window."""
     f = Estimator(LINE).filter(events(spark, sf))
@@ -142,10 +112,9 @@ def xi_window_sum(spark, sf):
 
 
 def _varying_sql() -> str:
-    body, n = weights_sql(LINE, "W")
-    return f"""WITH sig AS ({EVENTS}), r(j, g, w00, w01, w10, w11) AS (VALUES {body})
-SELECT a.series_id, a.k, {", ".join(f"round(coalesce(sum(CASE WHEN b.y IS NOT NULL THEN r.w{i} END), 0), 5) + 0.0 AS w{i}" for i in ("00", "01", "11"))}
-FROM sig a CROSS JOIN r LEFT JOIN sig b ON b.series_id = a.series_id AND b.k = a.k + r.j GROUP BY a.series_id, a.k"""
+    sums = ", ".join(f"round(coalesce(sum(CASE WHEN b.y IS NOT NULL THEN o.g * o.p{i} * o.p{k} END), 0), 5) + 0.0 AS w{i}{k}" for i, k in ((0, 0), (0, 1), (1, 1)))
+    return f"""WITH sig AS ({EVENTS}), {sq.window(LINE_SQL)}
+SELECT a.series_id, a.k, {sums} FROM sig a CROSS JOIN o LEFT JOIN sig b ON b.series_id = a.series_id AND b.k = a.k + o.j GROUP BY a.series_id, a.k"""
 
 
 @query(_varying_sql())
@@ -155,80 +124,74 @@ def gram_timevarying(spark, sf):
     return f.select("series_id", "k", *[(F.round(F.col("W")[i][j], 5) + F.lit(0.0)).alias(f"w{i}{j}") for i, j in ((0, 0), (0, 1), (1, 1))])
 
 
-def _fit_sql(cost, signal: str, digits: int = 5) -> str:
-    e = Estimator(cost)
-    rows = np.ravel(cost.output_rows())
-    return f"{filter_sql(cost, signal)}, s AS (SELECT *, {state_sql(e)} FROM f) SELECT series_id, k, {r_sql(linear_sql(rows, 'x'), digits, 'y_hat')}, {r_sql(error_sql(e), digits, 'J')} FROM s"
-
-
 def _fit(cost, df, digits: int = 5, **switches) -> DataFrame:
     e = Estimator(cost, **switches)
     return _spread(e.eval_errors(e.eval_output(e.minimize_x(e.filter(df)))), ["y_hat", "J"], digits)
 
 
-@query(_fit_sql(FIT2, EVENTS))
+@query(sq.fit(FIT2_SQL, EVENTS))
 def polynomial_fit(spark, sf):
     """A parabola over a two-sided decaying window at every event."""
     return _fit(FIT2, events(spark, sf))
 
 
-@query(_fit_sql(MEAN, DAILY))
+@query(sq.fit(SAVGOL_SQL[0], DAILY))
 def moving_average(spark, sf):
     """Degree 0 over daily totals."""
     return _fit(MEAN, daily(spark, sf))
 
 
-@query(_fit_sql(SAVGOL1, DAILY))
+@query(sq.fit(SAVGOL_SQL[1], DAILY))
 def savgol_deg1(spark, sf):
     return _fit(SAVGOL1, daily(spark, sf))
 
 
-@query(_fit_sql(SAVGOL2, DAILY))
+@query(sq.fit(SAVGOL_SQL[2], DAILY))
 def savgol_deg2(spark, sf):
     return _fit(SAVGOL2, daily(spark, sf))
 
 
-@query(_fit_sql(WAVE, EVENTS))
+@query(sq.fit(WAVE_SQL, EVENTS))
 def sinusoid_fit(spark, sf):
     """A damped wave plus a decay."""
     return _fit(WAVE, events(spark, sf))
 
 
-@query(_fit_sql(PROD, EVENTS))
+@query(sq.fit(PROD_SQL, EVENTS))
 def product_model_fit(spark, sf):
     """A decaying line, a product of models, with a scaled cost."""
     return _fit(PROD, events(spark, sf))
 
 
-@query(_fit_sql(BASES["jordan"], EVENTS))
+@query(sq.fit(JORDAN_SQL, EVENTS))
 def jordan_fit(spark, sf):
     return _fit(BASES["jordan"], events(spark, sf))
 
 
-@query(_fit_sql(BASES["legendre"], EVENTS))
+@query(sq.fit(LEGENDRE_SQL, EVENTS))
 def legendre_fit(spark, sf):
     return _fit(BASES["legendre"], events(spark, sf))
 
 
-@query(_fit_sql(FIT2, EVENTS))
+@query(sq.fit(FIT2_SQL, EVENTS))
 def fit_fold_strategy(spark, sf):
     """The same fit by range frames, which also serve series with gaps."""
     return _fit(FIT2, events(spark, sf), strategy="fold")
 
 
-@query(_fit_sql(FIT2, EVENTS))
+@query(sq.fit(FIT2_SQL, EVENTS))
 def fit_doubling_strategy(spark, sf):
     """The same fit by doubled windows, in blocks with a halo."""
     return _fit(FIT2, events(spark, sf), strategy="doubling", block=256)
 
 
-@query(_fit_sql(FIT2, EVENTS))
+@query(sq.fit(FIT2_SQL, EVENTS))
 def fit_explode_strategy(spark, sf):
     """The same fit by sending samples to their anchors."""
     return _fit(FIT2, events(spark, sf), strategy="explode")
 
 
-@query(f"{filter_sql(LONG, EVENTS)} SELECT series_id, k, {r_sql('xi0', 4, 'xi0')}, {r_sql('xi1 / 100', 4, 'xi1')} FROM f")
+@query(f"WITH {sq.sums(LONG_SQL, EVENTS)} SELECT series_id, k, {r_sql('xi0', 4, 'xi0')}, {r_sql('xi1 / 100', 4, 'xi1')} FROM f")
 def long_window_doubling(spark, sf):
     """A window of 128 samples in seven doublings."""
     f = Estimator(LONG, calc=("xi",)).filter(events(spark, sf))
@@ -236,12 +199,9 @@ def long_window_doubling(spark, sf):
 
 
 def _tslm_sql() -> str:
-    e = Estimator(EDGE)
-    parts = []
-    for kind, H in TSLM_KINDS.items():  # noqa: N806
-        parts.append(f"s_{kind} AS (SELECT series_id, k, kappa, xi0, xi1, xi2, xi3, {state_sql(e, H)} FROM f)")
-    picks = " UNION ALL ".join(f"SELECT series_id, k, '{kind}' AS hypothesis, {r_sql(error_sql(e), 4, 'J')} FROM s_{kind}" for kind in TSLM_KINDS)
-    return f"{filter_sql(EDGE, EVENTS)}, {', '.join(parts)} {picks}"
+    parts = [sq.solved(4, H, tag=f"s_{kind}") for kind, H in TSLM_KINDS.items()]  # noqa: N806
+    picks = " UNION ALL ".join(f"SELECT series_id, k, '{kind}' AS hypothesis, {r_sql(sq.cost(4), 4, 'J')} FROM s_{kind} CROSS JOIN w" for kind in TSLM_KINDS)
+    return f"WITH {sq.sums(EDGE_SQL, EVENTS)}, {', '.join(parts)} {picks}"
 
 
 @query(_tslm_sql())
@@ -256,10 +216,10 @@ def tslm_hypotheses(spark, sf):
 
 
 def _edge_sql() -> str:
-    e = Estimator(EDGE)
-    s1, s0 = state_sql(e, costs.TSLM.H_Continuous, prefix="p"), state_sql(e, costs.TSLM.H_Straight, prefix="q")
-    return f"""{filter_sql(EDGE, EVENTS)}, s AS (SELECT *, {s1}, {s0} FROM f),
-j AS (SELECT series_id, k, {error_sql(e, "p")} AS j1, {error_sql(e, "q")} AS j0 FROM s), l AS (SELECT *, -0.5 * ln(j1 / j0) AS lcr FROM j)"""
+    """Continuous: both lines share the offset. Straight: they share both parameters."""
+    bend, straight = ((1, 0, 0), (0, 1, 0), (1, 0, 0), (0, 0, 1)), ((1, 0), (0, 1), (1, 0), (0, 1))
+    return f"""WITH {sq.sums(EDGE_SQL, EVENTS)}, {sq.solved(4, bend, tag="s1", x="p")}, {sq.solved(4, straight, source="s1", tag="s0", x="q")},
+j AS (SELECT series_id, k, {sq.cost(4, "p")} AS j1, {sq.cost(4, "q")} AS j0 FROM s0 CROSS JOIN w), l AS (SELECT *, -0.5 * ln(j1 / j0) AS lcr FROM j)"""
 
 
 def edges(spark, sf) -> DataFrame:
@@ -283,9 +243,9 @@ PULSE_H1, PULSE_H0 = np.eye(3), np.eye(3)[:, :2]
 
 
 def _pulse_sql() -> str:
-    e = Estimator(PULSE)
-    return f"""{filter_sql(PULSE, EVENTS)}, s AS (SELECT *, {state_sql(e, PULSE_H1, prefix="p")}, {state_sql(e, PULSE_H0, prefix="q")} FROM f)
-SELECT series_id, k, {r_sql("p2", 4, "height")}, {r_sql(f"-0.5 * ln(({error_sql(e, 'p')}) / ({error_sql(e, 'q')}))", 4, "lcr")} FROM s"""
+    """A line with and without a box on the middle segment."""
+    return f"""WITH {sq.sums(PULSE_SQL, EVENTS)}, {sq.solved(3, tag="s1", x="p")}, {sq.solved(3, ((1, 0), (0, 1), (0, 0)), source="s1", tag="s0", x="q")}
+SELECT series_id, k, {r_sql("p2", 4, "height")}, {r_sql(f"-0.5 * ln({sq.cost(3, 'p')} / {sq.cost(3, 'q')})", 4, "lcr")} FROM s0 CROSS JOIN w"""
 
 
 @query(_pulse_sql())
@@ -310,17 +270,18 @@ def find_peaks(spark, sf):
     return rounded(detect.find_peaks(edges(spark, sf), "lcr", height=0.01, distance=30), 4, "lcr")
 
 
-@query(f"{filter_sql(FIT2, EVENTS)} SELECT series_id, k, {r_sql(linear_sql([1.0, -0.5, 0.25]), 4, 'c')} FROM f")
+@query(f"WITH {sq.sums(FIT2_SQL, EVENTS)} SELECT series_id, k, {r_sql('xi0 - 0.5 * xi1 + 0.25 * xi2', 4, 'c')} FROM f")
 def convolve_template(spark, sf):
     """Correlation with a template in feature space."""
     return rounded(Estimator(FIT2).convolve(events(spark, sf), [1.0, -0.5, 0.25]).select("series_id", "k", "c"), 4, "c")
 
 
 def _shape_sql() -> str:
-    t = np.array([1.0, 0.2, -0.05])
-    w = t @ Estimator(FIT2).W @ t
-    a = linear_sql(t)
-    return f"{filter_sql(FIT2, EVENTS)} SELECT series_id, k, {r_sql(f'kappa / (kappa - {a} * {a} / {_num(w)})', 4, 'match')} FROM f"
+    """A template 1 + 0.2 j - 0.05 j^2, scaled at its best: J_A = kappa - a^2 / b."""
+    t, names = (1.0, 0.2, -0.05), [f"xi{i}" for i in range(3)]
+    a = f"({sq.combined(t, names)})"
+    b = f"({sq.combined([p * q for p in t for q in t], [f'w{i}_{k}' for i in range(3) for k in range(3)])})"
+    return f"WITH {sq.sums(FIT2_SQL, EVENTS)} SELECT series_id, k, {r_sql(f'kappa / (kappa - {a} * {a} / {b})', 4, 'match')} FROM f CROSS JOIN w"
 
 
 @query(_shape_sql())
@@ -330,7 +291,7 @@ def shape_match(spark, sf):
     return rounded(detect.shape_match(e, e.filter(events(spark, sf)), [1.0, 0.2, -0.05]).select("series_id", "k", "match"), 4, "match")
 
 
-@query(f"{filter_sql(costs.CostSegment(models.AlssmPoly(1), Segment(0, 63, 'bw', 50)), EVENTS)} SELECT series_id, k, {r_sql('xi0', 4, 'xi0')}, {r_sql('xi1 / 100', 4, 'xi1')} FROM f")
+@query(f"WITH {sq.sums([sq.Part(0, 63, sq.backward(50), LINES)], EVENTS)} SELECT series_id, k, {r_sql('xi0', 4, 'xi0')}, {r_sql('xi1 / 100', 4, 'xi1')} FROM f")
 def multiscale_doubling(spark, sf):
     """A window of 64 samples composed from windows of 16."""
     m, s = models.AlssmPoly(1), Segment(0, 15, "bw", 50)
@@ -349,7 +310,7 @@ def channels(spark, sf) -> DataFrame:
     return table(spark, sf, "embeddings").select(F.lit("e").alias("series_id"), F.col("vec_id").alias("k"), F.posexplode("embedding").alias("ch", "v")).select("series_id", "ch", "k", F.col("v").cast("double").alias("y"))
 
 
-@query(f"{filter_sql(EMB, EMB_SQL)}, s AS (SELECT *, {state_sql(Estimator(EMB))} FROM f) SELECT 'e' AS series_id, k, {r_sql('sum(x0)', 4, 'level')}, {r_sql(f'sum({error_sql(Estimator(EMB))})', 4, 'J')} FROM s GROUP BY k")
+@query(f"WITH {sq.sums(EMB_PART, EMB_SQL)}, {sq.solved(2)} SELECT 'e' AS series_id, k, {r_sql('sum(x0)', 4, 'level')}, {r_sql(f'sum({sq.cost(2)})', 4, 'J')} FROM s CROSS JOIN w GROUP BY k")
 def multichannel_energy(spark, sf):
     """Every channel fitted apart; levels and costs summed over channels."""
     e = Estimator(EMB, keys=("series_id", "ch"))
@@ -357,7 +318,7 @@ def multichannel_energy(spark, sf):
     return rounded(detect.energy(f, ["level", "J"], "ch", ("series_id", "ch")), 4, "level", "J")
 
 
-@query(f"{filter_sql(EMB, EMB_SQL)} SELECT 'e' AS series_id, k, {r_sql('sum(xi0 + 0.1 * xi1)', 4, 'c')} FROM f GROUP BY k")
+@query(f"WITH {sq.sums(EMB_PART, EMB_SQL)} SELECT 'e' AS series_id, k, {r_sql('sum(xi0 + 0.1 * xi1)', 4, 'c')} FROM f GROUP BY k")
 def multichannel_convolve(spark, sf):
     e = Estimator(EMB, keys=("series_id", "ch"))
     return rounded(e.convolve(channels(spark, sf), [1.0, 0.1], over=("ch",)), 4, "c")
@@ -375,18 +336,21 @@ def matched_filter(spark, sf):
 ND = costs.NDCompositeCost([costs.CostSegment(models.AlssmPoly(1), Segment(-3, 3, "bw", 10)), costs.CostSegment(models.AlssmPoly(1), Segment(-2, 2, "bw", 5))])
 
 
+def nd_sql(axes: list[list[sq.Part]], signal: str, names: list[str]) -> str:
+    """CTEs g (keys, y), windows, f (xi over all axes, Kronecker order), states x0, ..: the Gram matrix is a product over the axes."""
+    n = len(axes)
+    states = list(np.ndindex(*[len(a[0].basis) for a in axes]))
+    xi = ", ".join(f"sum(b.y * {' * '.join(f'r{d}.r{i[d]}' for d in range(n))}) AS xi{c}" for c, i in enumerate(states))
+    gram_ = ", ".join(f"{' * '.join(f'w{d}.w{i[d]}_{k[d]}' for d in range(n))} AS w{a}_{b}" for a, i in enumerate(states) for b, k in enumerate(states))
+    return f"""g AS ({signal}), {', '.join(sq.window(a, str(d)) for d, a in enumerate(axes))},
+w AS (SELECT {gram_} FROM {' CROSS JOIN '.join(f'w{d}' for d in range(n))}),
+f AS (SELECT {', '.join(f'b.{k} - r{d}.j AS {k}' for d, k in enumerate(names))}, {xi} FROM g b {' '.join(f'CROSS JOIN r{d}' for d in range(n))} GROUP BY {', '.join(str(d + 1) for d in range(n))}),
+{sq.solved(len(states))}"""
+
+
 def _nd_sql() -> str:
-    tables = []
-    for c in ND.cost_terms:
-        body, _ = weights_sql(c)
-        tables.append(body)
-    x = np.linalg.solve(ND.get_steady_state_W(), np.eye(4))
-    xi = [f"sum(b.y * p.r{i} * q.r{j})" for i in range(2) for j in range(2)]
-    cols = ", ".join(f"{e} AS xi{n}" for n, e in enumerate(xi))
-    return f"""WITH g AS (SELECT vec_id AS k0, d AS k1, embedding[d + 1]::DOUBLE AS y FROM embeddings, (SELECT unnest(range(64)) AS d)),
-p(j, g, r0, r1) AS (VALUES {tables[0]}), q(j, g, r0, r1) AS (VALUES {tables[1]}),
-f AS (SELECT b.k0 - p.j AS k0, b.k1 - q.j AS k1, {cols} FROM g b CROSS JOIN p CROSS JOIN q GROUP BY 1, 2)
-SELECT 'e' AS series_id, g.k0, g.k1, round({linear_sql(x[0])}, 5) + 0.0 AS y_hat FROM g JOIN f ON f.k0 = g.k0 AND f.k1 = g.k1"""
+    own = nd_sql([[sq.Part(-3, 3, sq.backward(10), LINES)], [sq.Part(-2, 2, sq.backward(5), LINES)]], "SELECT vec_id AS k0, d AS k1, embedding[d + 1]::DOUBLE AS y FROM embeddings, (SELECT unnest(range(64)) AS d)", ["k0", "k1"])
+    return f"WITH {own} SELECT 'e' AS series_id, g.k0, g.k1, {r_sql('x0', 5, 'y_hat')} FROM g JOIN s ON s.k0 = g.k0 AND s.k1 = g.k1"
 
 
 @query(_nd_sql())
@@ -398,12 +362,12 @@ def nd_fit_2d(spark, sf):
 
 
 def _infinite_sql() -> str:
-    g = EXPANSION.gamma
+    g = "(11e0 / 12e0)"
     return f"""WITH RECURSIVE sig AS ({EVENTS}), n AS (SELECT series_id, max(k) AS last FROM sig GROUP BY 1),
 s(series_id, k, xi0, xi1) AS (
   SELECT sig.series_id, sig.k, sig.y, 0.0::DOUBLE FROM sig JOIN n ON n.series_id = sig.series_id AND sig.k = n.last
   UNION ALL
-  SELECT s.series_id, s.k - 1, {_num(g)} * s.xi0 + sig.y, {_num(g)} * (s.xi0 + s.xi1) FROM s JOIN sig ON sig.series_id = s.series_id AND sig.k = s.k - 1)
+  SELECT s.series_id, s.k - 1, {g} * s.xi0 + sig.y, {g} * (s.xi0 + s.xi1) FROM s JOIN sig ON sig.series_id = s.series_id AND sig.k = s.k - 1)
 SELECT series_id, k, {r_sql("xi0", 4, "xi0")}, {r_sql("xi1 / 10", 4, "xi1")} FROM s"""
 
 
@@ -415,37 +379,6 @@ def infinite_window(spark, sf):
 
 
 SMALL = costs.CompositeCost([models.AlssmPoly(1)], [Segment(-5, -1, "fw", 10), Segment(0, 5, "bw", 10)], np.ones((1, 2)))
-ANCHORS = "SELECT series_id, k FROM sig WHERE k % 50 = 25"
-
-
-def _window_place_sql() -> str:
-    body, _ = weights_sql(SMALL)
-    return f"""WITH sig AS ({EVENTS}), r(j, g, r0, r1) AS (VALUES {body}), a AS ({ANCHORS}),
-p AS (SELECT a.series_id, a.k + r.j AS k, max(r.g) AS v FROM a CROSS JOIN r GROUP BY 1, 2)
-SELECT s.series_id, t.k, {r_sql("coalesce(p.v, 0e0)", 6, "value")} FROM (SELECT DISTINCT series_id FROM a) s CROSS JOIN (SELECT unnest(range(1000)) AS k) t LEFT JOIN p ON p.series_id = s.series_id AND p.k = t.k"""
-
-
-@query(_window_place_sql())
-def window_place(spark, sf):
-    """Windows at every fiftieth sample on an axis of 1000 samples, merged by their maximum."""
-    anchors = events(spark, sf).where("k % 50 = 25").select("series_id", "k")
-    return rounded(placement.window_place(SMALL, anchors, 1000).select("series_id", "k", "value"), 6, "value")
-
-
-def _trajectory_sql() -> str:
-    e = Estimator(SMALL)
-    rows = ", ".join(f"({j}, {', '.join(_num(v) for v in models.AlssmPoly(1).output_row(j))})" for j in range(-5, 6))
-    return f"""{filter_sql(SMALL, EVENTS)}, s AS (SELECT *, {state_sql(e)} FROM f), c(j, c0, c1) AS (VALUES {rows})
-SELECT s.series_id, s.k + c.j AS k, {r_sql("max(s.x0 * c.c0 + s.x1 * c.c1)", 5, "value")} FROM s CROSS JOIN c WHERE s.k % 7 = 3 AND s.k + c.j BETWEEN 0 AND 999 GROUP BY 1, 2"""
-
-
-@query(_trajectory_sql())
-def trajectory_place(spark, sf):
-    """Fitted lines at every seventh sample, placed on an axis of 1000 samples; the largest stays where they overlap."""
-    e = Estimator(SMALL)
-    states = e.minimize_x(e.filter(events(spark, sf)))
-    anchors = events(spark, sf).where("k % 7 = 3").select("series_id", "k")
-    return rounded(placement.trajectory_place(SMALL, states, anchors, 1000, fill_value=None).select("series_id", "k", "value"), 5, "value")
 
 
 def _with_length(anchors: DataFrame, signal: DataFrame) -> DataFrame:
@@ -453,23 +386,31 @@ def _with_length(anchors: DataFrame, signal: DataFrame) -> DataFrame:
     return anchors.join(signal.groupBy("series_id").agg((F.max("k") + 1).alias("length")), "series_id")
 
 
-@query()
-def window_place_whole(spark, sf):
+@query(f"""WITH sig AS ({EVENTS}), {sq.window(SMALL_SQL)},
+n AS (SELECT *, lag(y) OVER (PARTITION BY series_id ORDER BY k) AS l0 FROM sig),
+c AS (SELECT *, sum(CASE WHEN l0 = y THEN 0 ELSE 1 END) OVER (PARTITION BY series_id ORDER BY k) AS run FROM n),
+u AS (SELECT series_id, run, min(k) AS k0, max(k) AS k1, any_value(y) AS y FROM c GROUP BY 1, 2),
+v AS (SELECT *, lag(y) OVER (PARTITION BY series_id ORDER BY run) AS l0, lead(y) OVER (PARTITION BY series_id ORDER BY run) AS l1 FROM u),
+a AS (SELECT series_id, (k0 + k1) // 2 AS k FROM v WHERE l0 < y AND l1 < y),
+p AS (SELECT a.series_id, a.k + o.j AS k, max(o.g) AS v FROM a CROSS JOIN o GROUP BY 1, 2)
+SELECT s.series_id, s.k, {r_sql("coalesce(p.v, 0e0)", 6, "value")} FROM sig s LEFT JOIN p ON p.series_id = s.series_id AND p.k = s.k WHERE s.series_id IN (SELECT series_id FROM a)""")
+def window_place(spark, sf):
     """Windows at every peak of every series, on the whole axis of each, merged by their maximum."""
     signal = events(spark, sf)
     anchors = _with_length(detect.find_peaks(signal, "y").select("series_id", "k"), signal)
     return rounded(placement.window_place(SMALL, anchors, "length").select("series_id", "k", "value"), 6, "value")
 
 
-@query()
-def trajectory_place_whole(spark, sf):
+@query(f"""WITH {sq.sums(SMALL_SQL, EVENTS)}, {sq.solved(2)}, c AS (SELECT DISTINCT j FROM o)
+SELECT t.series_id, t.k, {r_sql("max(s.x0 + s.x1 * c.j)", 5, "value")} FROM s CROSS JOIN c JOIN sig t ON t.series_id = s.series_id AND t.k = s.k + c.j GROUP BY 1, 2""")
+def trajectory_place(spark, sf):
     """Fitted lines at all samples, on the whole axis of each series; the largest stays where they overlap."""
     e, signal = Estimator(SMALL), events(spark, sf)
     anchors = _with_length(signal.select("series_id", "k"), signal)
     return rounded(placement.trajectory_place(SMALL, e.minimize_x(e.filter(signal)), anchors, "length", fill_value=None).select("series_id", "k", "value"), 5, "value")
 
 
-@query("SELECT segment, j, round(w, 9) + 0.0 AS weight FROM (" + " UNION ALL ".join(f"SELECT '{p}' AS segment, j, pow({_num(s.gamma)}, j) AS w FROM (SELECT unnest(range({int(s.a)}, {int(s.b) + 1})) AS j)" for p, s in enumerate(SMALL.segments)) + ")")
+@query("SELECT segment, j, round(w, 9) + 0.0 AS weight FROM (SELECT '0' AS segment, j, pow(10e0 / 9e0, j) AS w FROM (SELECT unnest(range(-5, 0)) AS j) UNION ALL SELECT '1', j, pow(9e0 / 10e0, j) FROM (SELECT unnest(range(0, 6)) AS j))")
 def window_eval(spark, sf):
     return rounded(placement.window_eval(spark, SMALL), 9, "weight")
 
@@ -562,16 +503,22 @@ def generator_convolution(spark, sf):
     return rounded(gen.gen_conv(daily(spark, sf), [0.25, 0.5, 0.25], ("series_id",)), 6, "y")
 
 
-@query()
+DRAW = lambda seed, stream: f"((('0x' || substr(md5('{seed}:{stream}:' || k::VARCHAR), 1, 13))::BIGINT + 0.5) / 4503599627370496e0)"
+
+
+@query(f"""WITH t AS (SELECT unnest(range({N})) AS k), p AS (SELECT k FROM t ORDER BY {DRAW(3, 0)}, k LIMIT 5),
+b AS (SELECT p.k + d AS k, count(*) AS n FROM p, (SELECT unnest(range(-3, 4)) AS d) GROUP BY 1)
+SELECT t.k, round(0.5 * sqrt(-2 * ln({DRAW(1, 0)})) * cos(2 * pi() * {DRAW(1, 1)}), 8) + 0.0 AS noise,
+round(sum(CASE WHEN {DRAW(2, 0)} < 0.5 THEN -1 ELSE 1 END * {DRAW(2, 1)}) OVER (ORDER BY t.k), 8) + 0.0 AS walk, coalesce(b.n, 0)::DOUBLE AS pulses FROM t LEFT JOIN b ON b.k = t.k""".replace("|| k::VARCHAR", "|| t.k::VARCHAR"))
 def random_generators(spark, sf):
-    """Seeded noise, walk and pulses; the engine's own streams."""
+    """Seeded noise, walk and pulses; draws are digests, so SQL makes the same."""
     a = gen.gen_wgn(spark, N, 0.5, 1).withColumnRenamed("y", "noise")
     b = gen.gen_rand_walk(spark, N, 2).withColumnRenamed("y", "walk")
     c = gen.gen_rand_pulse(spark, N, 5, 7, 3).withColumnRenamed("y", "pulses")
-    return a.join(b, "k").join(c, "k")
+    return rounded(a.join(b, "k").join(c, "k"), 8, "noise", "walk")
 
 
-@query(f"{filter_sql(costs.CostSegment(models.AlssmPoly(1), Segment(-21, -1, 'fw', 100)), EVENTS)} SELECT series_id, k, {r_sql('xi0', 5, 'xi0')}, {r_sql('xi1 / 10', 5, 'xi1')} FROM f")
+@query(f"WITH {sq.sums([sq.Part(-21, -1, sq.forward(100), LINES)], EVENTS)} SELECT series_id, k, {r_sql('xi0', 5, 'xi0')}, {r_sql('xi1 / 10', 5, 'xi1')} FROM f")
 def benchmark_window(spark, sf):
     """Degree 1 over [-21, -1], the window of the speed definition; xi only."""
     f = Estimator(costs.CostSegment(models.AlssmPoly(1), Segment(-21, -1, "fw", 100)), calc=("xi",)).filter(events(spark, sf))
@@ -583,11 +530,10 @@ TWO_SIDED = costs.CompositeCost([models.AlssmPoly(1)], [Segment(-10, -1, "fw", 2
 
 def _truncated_sql() -> str:
     """The 2 x 2 normal equations of every truncated window in closed form; at the minimum J = kappa - xi'x."""
-    body, _ = weights_sql(TWO_SIDED)
-    return f"""WITH sig AS ({EVENTS}), r(j, g, r0, r1) AS (VALUES {body}),
-f AS (SELECT a.series_id, a.k, sum(b.y * b.y * r.g) AS kappa, sum(b.y * r.r0) AS p, sum(b.y * r.r1) AS q,
-             sum(CASE WHEN b.y IS NOT NULL THEN r.g END) AS w00, sum(CASE WHEN b.y IS NOT NULL THEN r.g * r.j END) AS w01, sum(CASE WHEN b.y IS NOT NULL THEN r.g * r.j * r.j END) AS w11
-      FROM sig a CROSS JOIN r LEFT JOIN sig b ON b.series_id = a.series_id AND b.k = a.k + r.j GROUP BY a.series_id, a.k),
+    return f"""WITH sig AS ({EVENTS}), {sq.window([sq.Part(-10, -1, sq.forward(20), LINES), sq.Part(0, 10, sq.backward(20), LINES)])},
+f AS (SELECT a.series_id, a.k, sum(b.y * b.y * o.g) AS kappa, sum(b.y * o.g) AS p, sum(b.y * o.g * o.j) AS q,
+             sum(CASE WHEN b.y IS NOT NULL THEN o.g END) AS w00, sum(CASE WHEN b.y IS NOT NULL THEN o.g * o.j END) AS w01, sum(CASE WHEN b.y IS NOT NULL THEN o.g * o.j * o.j END) AS w11
+      FROM sig a CROSS JOIN o LEFT JOIN sig b ON b.series_id = a.series_id AND b.k = a.k + o.j GROUP BY a.series_id, a.k),
 x AS (SELECT *, (w11 * p - w01 * q) / (w00 * w11 - w01 * w01) AS x0, (w00 * q - w01 * p) / (w00 * w11 - w01 * w01) AS x1 FROM f)
 SELECT series_id, k, {r_sql("x0", 5, "y_hat")}, {r_sql("kappa - p * x0 - q * x1", 5, "J")} FROM x"""
 
@@ -598,7 +544,7 @@ def timevarying_fit(spark, sf):
     return _fit(TWO_SIDED, events(spark, sf), steady_state=False)
 
 
-@query(f"{filter_sql(SMALL, EVENTS)}, s AS (SELECT *, {state_sql(Estimator(SMALL))} FROM f) SELECT series_id, k, fraction, {r_sql('x0 + fraction * x1', 5, 'y_hat')} FROM s CROSS JOIN (VALUES (0e0), (0.25e0), (0.5e0), (0.75e0)) t(fraction)")
+@query(f"WITH {sq.sums(SMALL_SQL, EVENTS)}, {sq.solved(2)} SELECT series_id, k, fraction, {r_sql('x0 + fraction * x1', 5, 'y_hat')} FROM s CROSS JOIN (VALUES (0e0), (0.25e0), (0.5e0), (0.75e0)) t(fraction)")
 def oversampling(spark, sf):
     """The fitted line between samples."""
     e = Estimator(SMALL)
@@ -606,7 +552,7 @@ def oversampling(spark, sf):
     return rounded(out.select("series_id", "k", "fraction", "y_hat"), 5, "y_hat")
 
 
-@query("SELECT i, j, round(w, 6) + 0.0 AS w FROM (VALUES " + ", ".join(f"({i}, {j}, {_num(sum(s.gamma**t * t ** (i + j) for t in range(-10, 11)))})" for s in [Segment(-10, 10, "bw", 20)] for i in range(3) for j in range(3)) + ") t(i, j, w)")
+@query("SELECT i, j, round(sum(pow(19e0 / 20e0, t) * pow(t, i + j)), 6) + 0.0 AS w FROM (SELECT unnest(range(3))::INTEGER AS i), (SELECT unnest(range(3))::INTEGER AS j), (SELECT unnest(range(-10, 11)) AS t) GROUP BY i, j")
 def steady_state_gram(spark, sf):
     """The Gram matrix of a parabola over a window, as a table."""
     w = gram.gram(models.AlssmPoly(2), Segment(-10, 10, "bw", 20), "closed_form")
@@ -625,13 +571,16 @@ SHAPE, SHIFTS, STRETCHES = pl.Poly([1.0, -0.2, 0.05], [0, 1, 2]), [-3.0, -1.5, 0
 
 
 def _shift_sql() -> str:
-    e = Estimator(FIT2)
-    rows = ", ".join(f"({', '.join(_num(v) for v in (s, eta, *row, norm))})" for s, eta, row, norm in localized.grid(SHAPE, 3, -5, 5, SHIFTS, STRETCHES))
-    m = localized.metric(3, -5, 5)
-    own = " + ".join(f"x{i} * {linear_sql(m[i], 'x')}" for i in range(3))
-    return f"""{filter_sql(FIT2, EVENTS)}, s AS (SELECT *, {state_sql(e)} FROM f), g(shift, stretch, m0, m1, m2, norm) AS (VALUES {rows}),
-c AS (SELECT series_id, k, shift, stretch, {own} - pow(x0 * m0 + x1 * m1 + x2 * m2, 2) / norm AS cost, (x0 * m0 + x1 * m1 + x2 * m2) / norm AS amplitude FROM s CROSS JOIN g)
-SELECT series_id, k, {r_sql("min(cost)", 4, "cost")}, arg_min(shift, cost) AS shift, arg_min(stretch, cost) AS stretch, {r_sql("arg_min(amplitude, cost)", 4, "amplitude")} FROM c GROUP BY series_id, k"""
+    """Template 1 - 0.2 u + 0.05 u^2 at u = stretch (x + shift): its coefficients c0 .. c2 in x by expansion; the metric's entries
+    are integrals of x^(i + j) over [-5, 5]."""
+    m = [[f"((pow(5, {i + k + 1}) - pow(-5, {i + k + 1})) / {i + k + 1}.0)" for k in range(3)] for i in range(3)]
+    form = lambda p, q: " + ".join(f"{p}{i} * {q}{k} * {m[i][k]}" for i in range(3) for k in range(3))
+    return f"""WITH {sq.sums(FIT2_SQL, EVENTS)}, {sq.solved(3)},
+g AS (SELECT shift, stretch, 1 - 0.2 * stretch * shift + 0.05 * pow(stretch * shift, 2) AS c0, -0.2 * stretch + 0.1 * stretch * stretch * shift AS c1, 0.05 * stretch * stretch AS c2
+      FROM (VALUES (-3e0), (-1.5e0), (0e0), (1.5e0), (3e0)) a(shift), (VALUES (0.5e0), (1e0), (2e0)) b(stretch)),
+c AS (SELECT series_id, k, shift, stretch, {form('x', 'x')} AS own, {form('x', 'c')} AS along, {form('c', 'c')} AS norm FROM s CROSS JOIN g),
+d AS (SELECT *, own - along * along / norm AS cost, along / norm AS amplitude FROM c)
+SELECT series_id, k, {r_sql("min(cost)", 4, "cost")}, arg_min(shift, cost) AS shift, arg_min(stretch, cost) AS stretch, {r_sql("arg_min(amplitude, cost)", 4, "amplitude")} FROM d GROUP BY series_id, k"""
 
 
 @query(_shift_sql())

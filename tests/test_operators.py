@@ -149,8 +149,8 @@ def test_placement_covers_whole_series(spark, tmp_path):
     own = {"a": rng.standard_normal(1300), "b": rng.standard_normal(700)}
     rows = [(s, k, k, float(100 * v)) for s, y in own.items() for k, v in enumerate(y)]
     spark.createDataFrame(rows, "event_type string, ts long, event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
-    windows = {(r.series_id, r.k): r.value for r in queries.window_place_whole(spark, str(tmp_path)).collect()}
-    lines = {(r.series_id, r.k): r.value for r in queries.trajectory_place_whole(spark, str(tmp_path)).collect()}
+    windows = {(r.series_id, r.k): r.value for r in queries.window_place(spark, str(tmp_path)).collect()}
+    lines = {(r.series_id, r.k): r.value for r in queries.trajectory_place(spark, str(tmp_path)).collect()}
     e = Estimator(queries.SMALL)
     states = {(r.series_id, r.k): r.x for r in e.minimize_x(e.filter(queries.events(spark, str(tmp_path)))).collect()}
     weight = {j: s.weight(j) for s in queries.SMALL.segments for j in range(int(s.a), int(s.b) + 1)}
@@ -246,3 +246,58 @@ def test_localized_polynomials(spark):
     df = spark.createDataFrame([(moved,)], "x array<double>")
     m = localized.best_match(df, "x", 3, t, (-2, 2), [-1.0, 0.0, 1.0], [1.0, 2.0]).first().match
     assert (m.shift, m.stretch) == (1.0, 2.0) and m.amplitude == pytest.approx(3) and abs(m.cost) < 1e-9
+
+
+def test_silent_stretches_have_defined_ratios(spark):
+    """Zero, constant and null stretches: no preference where both costs vanish, never an error."""
+    y = [0.0] * 60 + [1.0] * 60 + [None] * 60 + [float(v) for v in np.random.default_rng(1).standard_normal(60)]
+    df = spark.createDataFrame([("s", k, v) for k, v in enumerate(y)], "series_id string, k long, y double")
+    e = Estimator(queries.EDGE)
+    f = {r.k: r for r in detect.hypotheses(e, e.filter(df), costs.TSLM.H_Continuous, costs.TSLM.H_Straight).collect()}
+    assert f[30].lcr == 0 and f[150].lcr == 0 and all(r.lcr is not None and not np.isnan(r.lcr) for r in f.values())
+    m = {r.k: r.match for r in detect.shape_match(e, e.filter(df), [1.0, 0.0, 1.0, 0.0]).collect()}
+    assert m[30] == 1 and m[150] == 1 and not any(np.isnan(v) for v in m.values())
+    rows = spark.createDataFrame([(0.0, 0.0), (0.0, 2.0), (2.0, 0.0), (-1e-18, 0.0), (None, 1.0)], "j0 double, j1 double")
+    got = [r[0] for r in rows.select(detect.lcr(F.col("j0"), F.col("j1"))).collect()]
+    assert got == [0.0, float("-inf"), float("inf"), 0.0, None]
+    assert [r[0] for r in rows.select(detect.lcr10(F.col("j0"), F.col("j1"))).collect()] == got
+
+
+def test_csv_folders_in_file_order(spark, tmp_path):
+    """Small files first by name are first by number, whatever their size; short rows have NaN."""
+    (tmp_path / "a.csv").write_text("1,5\n2\n")
+    (tmp_path / "b.csv").write_text("\n".join(f"{i},{i}" for i in range(10, 2000)))
+    got = csv.load_csv_mc(spark, str(tmp_path)).orderBy("k").collect()
+    assert [r.y0 for r in got[:4]] == [1, 2, 10, 11] and np.isnan(got[1].y1) and len(got) == 1992
+
+
+def test_numbering_by_time(spark):
+    from slidefit.sources.order import numbered
+
+    rows = [("a", 3600 * (i % 7) + i, i) for i in range(50)] + [("b", None, 3), ("b", 5, 1), ("b", 5, 0)]
+    df = spark.createDataFrame(rows, "series_id string, t long, i long").withColumn("t", F.col("t").cast("timestamp"))
+    got = [(r.series_id, r.i) for r in numbered(df, ["series_id"], "t", "i").orderBy("series_id", "k").collect()]
+    assert got == [("a", i) for _, _, i in sorted(rows[:50], key=lambda r: (r[1], r[2]))] + [("b", 3), ("b", 0), ("b", 1)]
+
+
+def test_centred_windows_double(spark):
+    y = np.random.default_rng(2).standard_normal(80)
+    y[:20] = y[-20:] = 0
+    df = spark.createDataFrame([("s", k, float(v)) for k, v in enumerate(y)], "series_id string, k long, y double")
+    m = models.AlssmPoly(2)
+    f = Estimator(costs.CostSegment(m, S(-4, 3, "bw", 30)), calc=("xi",)).filter(df)
+    got = {r.k: r.xi for r in detect.double_centred_window(f, m.A, S(-4, 3, "bw", 30).gamma, 8, block=40).collect()}
+    want = {r.k: r.xi for r in Estimator(costs.CostSegment(m, S(-8, 7, "bw", 30)), calc=("xi",)).filter(df).collect()}
+    for k in range(10, 70):
+        np.testing.assert_allclose(got[k], want[k], atol=1e-9)
+
+
+def test_known_shape_is_found(spark):
+    j = np.arange(-4, 5)
+    y = np.zeros(120)
+    y[56:65] = 1 - 0.05 * j**2
+    df = spark.createDataFrame([("s", k, float(v) + 0.01 * k) for k, v in enumerate(y)], "series_id string, k long, y double")
+    cost = costs.CompositeCost([models.AlssmPoly(2), models.AlssmPoly(1)], [S(-10, -5, "fw", 50), S(-4, 4, "fw", 50), S(5, 10, "bw", 50)], [[0, 1, 0], [1, 1, 1]])
+    e = Estimator(cost)
+    best = detect.argmax(detect.known_shape(e, e.filter(df), [1.0, 0.0, -0.05]), "lcr").first()
+    assert best.k == 60
