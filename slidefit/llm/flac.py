@@ -8,7 +8,8 @@ its prediction. Header (CRC-8) and frame (CRC-16) checksums and the stream's MD5
 
 Samples are bytes minus 128. Payloads are padded with zero bytes to a positive multiple of 64, so every frame has 64
 samples at least. Null texts count as empty. Batches are cut by bytes, so memory doesn't grow with the number of rows; a
-text must fit into a task's memory. Repeated rows are coded each; an empty table gives an empty result.
+text, however long, must fit into a task's memory. Repeated rows are coded each, rows without an id keep a null one; further
+columns are left behind; an empty table gives an empty result. flac_reader reads the streams of other encoders.
 """
 
 from __future__ import annotations
@@ -348,6 +349,21 @@ def decode(streams: list[bytes]) -> list[list[tuple[int, bytes]]]:
     return out
 
 
+def decode_any(streams: list[bytes]) -> list[list[tuple[int, bytes]]]:
+    """decode, but streams of other encoders too, one by one: mono 8-bit ones as a payload's bytes, others as little-endian PCM."""
+    try:
+        return decode(streams)
+    except (ValueError, IndexError):
+        from . import flac_reader
+
+        out = []
+        for s in streams:
+            about, frames = flac_reader.read(s)
+            plain = about["channels"] == 1 and about["bits"] == 8
+            out.append([(k, (x.astype(np.int8).view(np.uint8) ^ 0x80).tobytes() if plain else flac_reader.pcm(x, about["bits"])) for k, x in frames])
+        return out
+
+
 def payload_of(text: bytes) -> bytes:
     """The text with zero bytes up to a positive multiple of 64."""
     return text + bytes(max(UNIT, -(-len(text) // UNIT) * UNIT) - len(text))
@@ -378,16 +394,16 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
-    """doc_id, sample_offset, pcm: decoded blocks that can be sought by sample."""
+    """doc_id, sample_offset, pcm: decoded blocks that can be sought by sample; any FLAC stream is read, null media have none."""
 
     def run(batches):
         for b in batches:
             ids, streams = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i, j in _batches(streams):
-                rows = [(d, k, p) for d, blocks in zip(ids[i:j], decode(streams[i:j]), strict=True) for k, p in blocks]
+                rows = [(d, k, p) for d, blocks in zip(ids[i:j], decode_any(streams[i:j]), strict=True) for k, p in blocks]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "sample_offset", "pcm"])
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, sample_offset long, pcm binary")
+    return media.where("media is not null").select("doc_id", "media").mapInArrow(run, "doc_id long, sample_offset long, pcm binary")
 
 
 def feature_of(payload: bytes) -> str:
