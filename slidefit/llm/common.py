@@ -23,21 +23,39 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Paths of the tables that stand in the shared folder.
+_written: list[str] = []
+
+
 def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/slidefit/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 def drop_table(spark: SparkSession, path: str) -> None:
     """Remove a written table that nothing reads any more."""
+    if path in _written:
+        _written.remove(path)
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def written_so_far() -> int:
+    """A mark for drop_since."""
+    return len(_written)
+
+
+def drop_since(spark: SparkSession, mark: int, but: str) -> None:
+    """Remove the tables written after a mark, but for one: what a result was made from, once the result is written itself."""
+    for path in [p for p in _written[mark:] if p != but]:
+        drop_table(spark, path)
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) with null texts as empty ones; further columns of docs are left behind, so no name can clash."""
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -329,4 +329,5 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     nodes = table.groupBy("digest").agg(F.min("doc_id").alias("node")).join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"))
     # a table of its own, so that the many copies of one text are a side of the join that can be split
     nodes, _ = write_table(nodes, "classes")
+    drop_table(own.sparkSession, labels_path)
     return table.select("doc_id", "digest").join(nodes, "digest").select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
