@@ -13,7 +13,8 @@ return the columns of documents.
 * packing: the tokens of all texts packed into sequences of 4096.
 
 The filters judge every row by itself, whatever its id; repeated ids share a verdict of near_dedup, so a repeated row stays
-with its first, and rows without an id stay. An empty table passes through all stages.
+with its first, and rows without an id stay. Null texts count as empty and go with the rules; very long texts are taken whole;
+further columns are left behind. An empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slidefit.llm import compression_quality, near_dedup, packing, quality_rules, suffix_dedup
-from slidefit.llm.common import drop_table, write_table
+from slidefit.llm.common import drop_since, drop_table, write_table, written_so_far
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A score under it rejects a document; lower than one half, so that only clear cases go.
@@ -79,7 +80,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on documents, each written and read back."""
     docs, before = _source(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
+        mark = written_so_far()
         docs, path = write_table(stage(spark, docs, sf_dir), name)
+        drop_since(spark, mark, path)
         if before:
             drop_table(spark, before)
         before = path
