@@ -182,7 +182,8 @@ def oversampled(estimator, df: DataFrame, fractions, x: str = "x") -> DataFrame:
         row = [np.ravel(m.C @ fractional_power(m.A, float(f))) for m in estimator.cost.get_alssms()]
         rows.append((float(f), [float(v) for v in np.concatenate(row)]))
     table = df.sparkSession.createDataFrame(rows, T.StructType([T.StructField("fraction", T.DoubleType()), T.StructField("row", T.ArrayType(T.DoubleType()))]))
-    return df.join(F.broadcast(table)).withColumn("y_hat", la.dot(F.col(x), F.col("row"))).drop("row")
+    # a row for each fraction that was asked for
+    return df.join(F.broadcast(table) if len(rows) <= 1 << 16 else table).withColumn("y_hat", la.dot(F.col(x), F.col("row"))).drop("row")
 
 
 def fractional_power(a: np.ndarray, p: float) -> np.ndarray:

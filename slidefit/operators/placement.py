@@ -15,30 +15,34 @@ def _axes(cost) -> list:
     return list(getattr(cost, "cost_terms", None) or [cost])
 
 
-def window_rows(cost, segment_indices=None, thd: float = 1e-6) -> list[tuple]:
-    """(segments, offsets, weight): for one axis plain numbers in both tuples, for several every combination's outer product."""
-    per_axis = []
-    for c in _axes(cost):
-        chosen = range(len(c.segments)) if segment_indices is None else segment_indices
-        per_axis.append([(p, j, w) for p in chosen for j, w in zip(*c.segments[p].window(thd), strict=True)])
-    return [(tuple(r[0] for r in rs), tuple(r[1] for r in rs), float(np.prod([r[2] for r in rs]))) for rs in product(*per_axis)]
-
-
 def _offset_names(cost) -> list[str]:
     n = len(_axes(cost))
     return ["j"] if n == 1 else [f"j{d}" for d in range(n)]
 
 
+def _windows(df: DataFrame, cost, segment_indices=None, thd: float = 1e-6) -> DataFrame:
+    """df times every offset of every segment (for several axes, of every combination): segment, j..., weight. Offsets are made by
+    the engine, so windows may be of any length."""
+    names, axes = _offset_names(cost), _axes(cost)
+    for d, (c, name) in enumerate(zip(axes, names, strict=True)):
+        chosen = range(len(c.segments)) if segment_indices is None else segment_indices
+        rows = [(p, *c.segments[p].ab_range(thd), c.segments[p]) for p in chosen]
+        own = F.array(*[F.struct(F.lit(str(p)).alias("p"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"), F.lit(float(s.gamma)).alias("g"), F.lit(int(s.delta)).cast("long").alias("d")) for p, a, b, s in rows])
+        df = df.withColumn(f"_s{d}", F.explode(own)).withColumn(name, F.explode(F.sequence(F.col(f"_s{d}.a"), F.col(f"_s{d}.b"))))
+    weight = F.lit(1.0)
+    for d, name in enumerate(names):
+        weight = weight * F.pow(F.col(f"_s{d}.g"), F.col(name) - F.col(f"_s{d}.d"))
+    parts = [f"_s{d}" for d in range(len(axes))]
+    return df.withColumns({"segment": F.concat_ws("x", *[F.col(f"{p}.p") for p in parts]), "weight": weight}).drop(*parts)
+
+
 def window_eval(spark: SparkSession, cost, segment_indices=None, thd: float = 1e-6) -> DataFrame:
     """One row for each offset and segment (combination): segment, j..., weight."""
-    names = _offset_names(cost)
-    rows = [("x".join(map(str, s)), *map(int, j), w) for s, j, w in window_rows(cost, segment_indices, thd)]
-    return spark.createDataFrame(rows, f"segment string, {', '.join(f'{n} long' for n in names)}, weight double")
+    return _windows(spark.range(1), cost, segment_indices, thd).select("segment", *_offset_names(cost), "weight")
 
 
-def _placed(anchors: DataFrame, rows: DataFrame, names: list[str], order: list[str], value: str, lengths) -> DataFrame:
-    """Anchors x offsets (a literal table, so a broadcast), clipped to [0, K)."""
-    at = anchors.join(F.broadcast(rows))
+def _placed(at: DataFrame, names: list[str], order: list[str], lengths) -> DataFrame:
+    """Anchors with offsets, moved to where they stand and clipped to [0, K)."""
     for o, n in zip(order, names, strict=True):
         at = at.withColumn(o, F.col(o) + F.col(n))
     for o, k in zip(order, lengths, strict=True):
@@ -46,6 +50,17 @@ def _placed(anchors: DataFrame, rows: DataFrame, names: list[str], order: list[s
     return at
 
 
+#: Rows of a table of offsets up to which it is broadcast.
+FEW = 1 << 16
+
+
+def _with_rows(df: DataFrame, cost, F_, thd: float) -> DataFrame:  # noqa: N803
+    """df times the literal output rows of every segment (combination); the table is broadcast where it is small."""
+    rows = int(np.prod([sum(b - a + 1 for a, b in (s.ab_range(thd) for s in c.segments)) for c in _axes(cost)]))
+    table = trajectory_table(df.sparkSession, cost, F_, thd)
+    return df.join(F.broadcast(table) if rows <= FEW else table)
+
+
 def _length(k):
     """A number, or the column of the anchors that holds each series' own."""
     return F.col(k) if isinstance(k, str) else F.lit(int(k))
@@ -64,7 +79,7 @@ def window_place(cost, anchors: DataFrame, lengths, keys=("series_id",), order=(
     keys, order = list(keys), list(order)
     lengths = [lengths] if np.isscalar(lengths) else list(lengths)
     marked = anchors.select(*keys, *order, *_length_columns(lengths), *[F.col(o).alias(f"anchor_{o}") for o in order])
-    at = _placed(marked, window_eval(anchors.sparkSession, cost, segment_indices, thd), _offset_names(cost), order, "weight", lengths)
+    at = _placed(_windows(marked, cost, segment_indices, thd), _offset_names(cost), order, lengths)
     return _merged(at, F.col("weight"), keys, order, lengths, merged_ks, merged_seg, fill_value, anchors)
 
 
@@ -100,8 +115,7 @@ def trajectory_table(spark: SparkSession, cost, F_=None, thd: float = 1e-6) -> D
 
 def trajectory_eval(cost, states: DataFrame, x: str = "x", F_=None, thd: float = 1e-6) -> DataFrame:  # noqa: N803
     """states (with an array column x) times offsets: segment, j..., value."""
-    rows = trajectory_table(states.sparkSession, cost, F_, thd)
-    return states.join(F.broadcast(rows)).withColumn("value", la.dot(F.col(x), F.col("row"))).drop("row")
+    return _with_rows(states, cost, F_, thd).withColumn("value", la.dot(F.col(x), F.col("row"))).drop("row")
 
 
 def trajectory_place(cost, states: DataFrame, anchors: DataFrame, lengths, keys=("series_id",), order=("k",), x: str = "x", F_=None, merged_ks: bool = True, merged_seg: bool = True, fill_value: float | None = float("nan"), thd: float = 1e-6) -> DataFrame:  # noqa: N803
@@ -112,5 +126,5 @@ def trajectory_place(cost, states: DataFrame, anchors: DataFrame, lengths, keys=
     keys, order = list(keys), list(order)
     lengths = [lengths] if np.isscalar(lengths) else list(lengths)
     own = states.join(anchors.select(*keys, *order, *_length_columns(lengths)).distinct(), [*keys, *order]).select(*keys, *order, x, *_length_columns(lengths), *[F.col(o).alias(f"anchor_{o}") for o in order])
-    at = _placed(own, trajectory_table(states.sparkSession, cost, F_, thd), _offset_names(cost), order, "row", lengths)
+    at = _placed(_with_rows(own, cost, F_, thd), _offset_names(cost), order, lengths)
     return _merged(at, la.dot(F.col(x), F.col("row")), keys, order, lengths, merged_ks, merged_seg, fill_value, anchors)

@@ -251,3 +251,24 @@ def test_labels_and_algebra():
 def test_windowed_sums_refuses():
     with pytest.raises(ValueError):
         windowed_sums(None, [], [], strategy="other")
+
+
+def test_nd_windows_double_and_block(spark):
+    """Long windows, cut into blocks, against sums over offsets."""
+    from slidefit.operators import nd
+
+    rng = np.random.default_rng(11)
+    y = rng.standard_normal((70, 9))
+    df = spark.createDataFrame([("s", i, j, float(y[i, j])) for i in range(70) for j in range(9)], "series_id string, k0 long, k1 long, y double")
+    cost = costs.NDCompositeCost([costs.CompositeCost([models.AlssmPoly(2)], [S(-15, -1, "fw", 20), S(0, 17, "bw", 20)], np.ones((1, 2)), betas=[1, 2]), costs.CostSegment(models.AlssmPoly(1), S(-1, 2, "bw", 8))])
+    e = nd.NDEstimator(cost, ("k0", "k1"), block=64)
+    long = {(r.k0, r.k1): (r.xi, r.kappa) for r in e.filter(df).collect()}
+    short, nd.SHORT = nd.SHORT, 1000
+    try:
+        want = {(r.k0, r.k1): (r.xi, r.kappa) for r in nd.NDEstimator(cost, ("k0", "k1")).filter(df).collect()}
+    finally:
+        nd.SHORT = short
+    assert set(long) == set(want) and len(long) == 630
+    for k, (xi, kappa) in long.items():
+        np.testing.assert_allclose(xi, want[k][0], atol=1e-8)
+        np.testing.assert_allclose(kappa, want[k][1], atol=1e-8)
