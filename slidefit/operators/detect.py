@@ -72,25 +72,29 @@ def argmax(df: DataFrame, score: str, keys=("series_id",), order: str = "k") ->
     return df.groupBy(*keys).agg(best.alias("b")).select(*keys, (-F.col("b.o")).alias(order), F.col("b.s").alias(score))
 
 
-def find_peaks(df: DataFrame, score: str, height: float | None = None, distance: int | None = None, keys=("series_id",), order: str = "k") -> DataFrame:
+def find_peaks(df: DataFrame, score: str, height: float | None = None, distance: int | None = None, keys=("series_id",), order: str = "k", block: int = BLOCK) -> DataFrame:
     """Local maxima (a plateau counts once, at its middle, rounded down) of at least height; of two nearer than distance
-    the higher stays. Candidates are found by windows; only they meet for the distance rule, which depends on order.
+    the higher stays. Samples are compared with their neighbours in blocks; only ends of plateaus and candidates meet by series,
+    and for the distance rule, which depends on order, by groups of candidates without a gap of distance between them.
 
-    Ends of a series are no peaks. Nulls and NaN are below everything.
+    The order column counts 0, 1, 2, ...; ends of a series are no peaks. Nulls and NaN are below everything.
     """
     keys = list(keys)
     value = F.when(F.col(score).isNull() | F.isnan(score), F.lit(float("-inf"))).otherwise(F.col(score))
-    w = Window.partitionBy(*keys).orderBy(order)
-    rows = df.select(*keys, order, value.alias("_v")).withColumn("_new", (F.lag("_v").over(w).isNull() | (F.lag("_v").over(w) != F.col("_v"))).cast("int"))
-    runs = rows.withColumn("_run", F.sum("_new").over(w)).groupBy(*keys, "_run").agg(F.min(order).alias("_from"), F.max(order).alias("_to"), F.first("_v").alias("_v"))
-    r = Window.partitionBy(*keys).orderBy("_run")
-    peaks = runs.withColumns({"_l": F.lag("_v").over(r), "_r": F.lead("_v").over(r)}).where("_l < _v and _r < _v")
-    peaks = peaks.select(*keys, F.floor((F.col("_from") + F.col("_to")) / 2).cast("long").alias(order), F.col("_v").alias(score))
+    rows = with_halo(df.select(*keys, order, value.alias("_v")), order, max(block, 4), 1, 1)
+    w = Window.partitionBy(*keys, "_block").orderBy(order)
+    near = rows.withColumns({"_l": F.lag("_v").over(w), "_r": F.lead("_v").over(w)}).where("_own").select(*keys, order, "_v", "_l", "_r")
+    alone = near.where("_l < _v and _r < _v").select(*keys, F.col(order).cast("long").alias(order), F.col("_v").alias(score))
+    # a plateau's first and last samples follow one another
+    ends = near.withColumns({"_from": (F.col("_l").isNull() | (F.col("_l") != F.col("_v"))) & (F.col("_r") == F.col("_v")), "_to": (F.col("_l") == F.col("_v")) & (F.col("_r").isNull() | (F.col("_r") != F.col("_v")))}).where("_from or _to")
+    e = Window.partitionBy(*keys).orderBy(order)
+    flat = ends.withColumns({"_end": F.lead(order).over(e), "_falls": F.lead(F.coalesce(F.col("_r") < F.col("_v"), F.lit(False))).over(e)}).where("_from and _l < _v and _falls")
+    peaks = alone.unionByName(flat.select(*keys, F.floor((F.col(order) + F.col("_end")) / 2).cast("long").alias(order), F.col("_v").alias(score)))
     if height is not None:
         peaks = peaks.where(F.col(score) >= height)
     if distance is None or distance <= 1:
         return peaks
-    schema = peaks.schema
+    schema, columns = peaks.schema, peaks.columns
 
     def suppress(frame: pd.DataFrame) -> pd.DataFrame:
         f = frame.sort_values(order, kind="stable").reset_index(drop=True)
@@ -103,7 +107,9 @@ def find_peaks(df: DataFrame, score: str, height: float | None = None, distance:
                 keep[i] = True
         return f[keep]
 
-    return peaks.groupBy(*keys).applyInPandas(suppress, schema)
+    apart = (F.col(order) - F.lag(order).over(e) >= distance).cast("int")
+    grouped = peaks.withColumn("_new", F.coalesce(apart, F.lit(0))).withColumn("_group", F.sum("_new").over(e))
+    return grouped.groupBy(*keys, "_group").applyInPandas(lambda f: suppress(f)[columns], schema)
 
 
 def energy(df: DataFrame, j_columns, channel: str, keys=("series_id",), order: str = "k") -> DataFrame:

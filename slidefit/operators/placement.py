@@ -50,6 +50,8 @@ def _placed(at: DataFrame, names: list[str], order: list[str], lengths) -> DataF
     return at
 
 
+#: Samples of an axis made at a time.
+BLOCK = 1 << 16
 #: Rows of a table of offsets up to which it is broadcast.
 FEW = 1 << 16
 
@@ -89,8 +91,10 @@ def _merged(at: DataFrame, value, keys, order, lengths, merged_ks, merged_seg, f
     if fill_value is None or not (merged_ks and merged_seg):
         return out
     spine = anchors.select(*keys, *_length_columns(lengths)).distinct()
-    for o, k in zip(order, lengths, strict=True):
-        spine = spine.withColumn(o, F.explode(F.sequence(F.lit(0).cast("long"), (_length(k) - 1).cast("long"))))
+    for o, k in zip(order, lengths, strict=True):  # an axis is made in pieces, so no array holds a whole one
+        length, piece = _length(k).cast("long"), F.lit(BLOCK).cast("long")
+        spine = spine.where(length > 0).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), length - 1, piece)))
+        spine = spine.withColumn(o, F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + piece, length) - 1))).drop("_from")
     return spine.drop(*_length_columns(lengths)).join(out, [*keys, *order], "left").withColumn("value", F.coalesce("value", F.lit(float(fill_value))))
 
 

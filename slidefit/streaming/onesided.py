@@ -21,18 +21,22 @@ def streaming_xi(stream: DataFrame, model, segment) -> DataFrame:
 
     def step(key, frames, state):
         last, kept = state.get if state.exists else (-1, [])
-        recent = {int(k): v for k, v in kept}
-        out = []
+        known = np.array(kept, float).reshape(-1, 2)
         for f in frames:
-            for k, y in sorted(zip(f["k"].tolist(), f["y"].tolist(), strict=True)):
-                if k <= last:
-                    continue
-                last = k
-                recent[k] = 0.0 if y is None or y != y else float(y)
-                recent = {i: v for i, v in recent.items() if i >= k + a}
-                xi = sum((rows[i - k] * v for i, v in recent.items() if i - k <= b), np.zeros(model.N))
-                out.append((key[0], k, xi.tolist()))
-        state.update((last, [[float(k), v] for k, v in recent.items()]))
-        yield pd.DataFrame(out, columns=["series_id", "k", "xi"])
+            f = f[["k", "y"]].sort_values(["k", "y"], kind="stable").drop_duplicates("k")
+            f = f[f["k"] > last]
+            if not len(f):
+                continue
+            k, y = f["k"].to_numpy(np.int64), f["y"].fillna(0.0).to_numpy(float)
+            at, value = np.concatenate([known[:, 0].astype(np.int64), k]), np.concatenate([known[:, 1], y])
+            xi = np.zeros((len(k), model.N))
+            for j, row in rows.items():
+                place = np.minimum(np.searchsorted(at, k + j), len(at) - 1)
+                xi += np.where(at[place] == k + j, value[place], 0.0)[:, None] * row
+            last = int(k[-1])
+            near = at >= last + a
+            known = np.stack([at[near], value[near]], 1)
+            yield pd.DataFrame({"series_id": key[0], "k": k, "xi": list(xi)})
+        state.update((last, known.tolist()))
 
     return stream.groupBy("series_id").applyInPandasWithState(step, "series_id string, k long, xi array<double>", "last long, kept array<array<double>>", "append", GroupStateTimeout.NoTimeout)
