@@ -28,7 +28,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_table, slices, texts, write_table
@@ -321,8 +321,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
         passing.append(path)
         if not left.limit(1).count():
             break
-        turn = F.row_number().over(Window.partitionBy("la").orderBy(F.xxhash64("a", "b")))
-        settle(left.withColumn("turn", turn).where(F.col("turn") <= few).drop("turn"))
+        # some few pairs of each label, drawn by a hash: a label's pairs needn't meet, and in the end all are drawn
+        parts = F.greatest(F.ceil(F.col("pairs") / few), F.lit(1))
+        some = left.join(left.groupBy("la").agg(F.count("*").alias("pairs")), "la").where(F.pmod(F.xxhash64("a", "b", F.lit(few)), parts) == 0)
+        settle(some.select("a", "b", "la", "lb"))
         left, few = left.select("a", "b"), few * 8
     for path in passing:  # what is returned reads the sketches and labels only
         drop_table(own.sparkSession, path)
