@@ -84,9 +84,21 @@ def sample(docs: DataFrame, labels: DataFrame, allowed: Column | None, rows: int
     draw = marked.withColumn("draw", F.xxhash64("doc_id"))
     chosen = draw.where("y = 1").orderBy("draw").limit(rows).unionByName(draw.where("y <> 1").orderBy("draw").limit(rows))
     own = docs.select("doc_id", "text").where(F.col("text").isNotNull() & F.length("text").between(1, most_chars))
-    found = own.join(F.broadcast(chosen), "doc_id").select("draw", "doc_id", "y", F.col("text").cast("binary").alias("text"))
-    order = ["draw", "doc_id", F.xxhash64("text")]  # ids may repeat in either table, so the join is bounded again
-    got = [r for good in (True, False) for r in found.where((F.col("y") == 1) == F.lit(good)).orderBy(*order).limit(rows).collect()]
+    found = own.join(F.broadcast(chosen), "doc_id").select("draw", "doc_id", "y", F.col("text").cast("binary").alias("text")).withColumn("digest", F.xxhash64("text"))
+    order = ["draw", "doc_id", "digest"]
+    # ids may repeat in either table, so the join is bounded again: keys alone tell where each label's sample ends, then one of
+    # equal rows comes here. Rows collected from an ordered limit would come from every task, as many as the limit.
+    key, taken = F.struct(*order), F.lit(False)
+    for good in (True, False):
+        mine = (F.col("y") == 1) == F.lit(good)
+        last = found.where(mine).select(key.alias("key")).orderBy("key").limit(rows).agg(F.max("key").alias("key")).first()["key"]
+        if last is not None:
+            end = F.struct(*(F.lit(last[c]).cast(found.schema[c].dataType).alias(c) for c in order))
+            taken = taken | (mine & (key <= end))
+    kept = sorted(found.where(taken).groupBy("y", *order, "text").agg(F.count("*").alias("n")).collect(), key=lambda r: [r[c] for c in order])
+    got = []
+    for good in (True, False):
+        got += [r for r in kept if (r["y"] == 1) == good for _ in range(min(r["n"], rows))][:rows]
     return [(bytes(r["text"]), int(r["y"] == 1)) for r in sorted(got, key=lambda r: (r["draw"], r["doc_id"], r["y"], r["text"]))]
 
 

@@ -58,3 +58,22 @@ def test_empty(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, folder).count() == 0
 
+
+def test_sample_of_a_common_id_is_bounded(spark):
+    """One labelled id in all of many tasks: the driver gets the sample, not a sample from each task."""
+    rng, cq = np.random.default_rng(4), corpus_pipeline.compression_quality
+    texts = [rng.bytes(1500).hex() for _ in range(1200)]
+    rows = [(0, t) for t in texts + texts[:600]] + [(i, f"bad {i}") for i in range(1, 60)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 16), "doc_id long, text string").localCheckpoint()
+    labels = spark.createDataFrame([(i, int(i == 0)) for i in range(60)], "doc_id long, quality int")
+    by_hash = docs.where("doc_id = 0").selectExpr("xxhash64(text) as h", "text").toPandas().sort_values("h")
+    wanted = sorted(by_hash["text"][:101])
+    conf = spark.sparkContext._jsc.sc().conf()
+    before = conf.get("spark.driver.maxResultSize", "1g")
+    conf.set("spark.driver.maxResultSize", "2m")  # 101 texts of 3 kB, but not 16 times as many
+    try:
+        got = cq.sample(docs, labels, None, 101, 20_000)
+    finally:
+        conf.set("spark.driver.maxResultSize", before)
+    assert sorted(t.decode() for t, y in got if y == 1) == wanted
+    assert sorted(t.decode() for t, y in got if y == 0) == sorted(f"bad {i}" for i in range(1, 60))
