@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -73,6 +74,13 @@ def slices(batch: pa.RecordBatch, column: int, most: int):
         at = to
 
 
+def give_back() -> None:
+    """Hand freed memory that Arrow and the C library hold back to the system: Spark keeps Python workers between tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def read_bytes(path: str) -> bytes:
     """A vocabulary file on the driver; executors get its bytes by broadcast."""
     with open(path, "rb") as f:

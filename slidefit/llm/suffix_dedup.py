@@ -15,7 +15,8 @@ unique or have been settled together:
 A chunk (documents of an interval of ids) sends each rank once, sorted, difference-coded and packed, to the task of its
 range, and gets back bits: whether another chunk (round 1) or an earlier one (rounds 2 and 3) has it, which is all that has to
 be known of other documents. However often a string occurs, a chunk sends it once: a hot passage or a huge group of copies
-weighs as much as the number of chunks, and no occurrence lists exist. Bytes are removed on equal ranks of 128 bits (digests of
+weighs as much as the number of chunks, and no occurrence lists exist. Samples are minima, so their ranges follow the
+distribution of minima; of many equal intervals the first would have 13 times its share. Bytes are removed on equal ranks of 128 bits (digests of
 whole documents, both ends of a run, 50 bytes); strings aren't compared. By the birthday bound one wrong match among 10^13
 positions has a probability under 10^-12. There is a chunk for every 4 MB of text (as many as spark.sql.shuffle.partitions at least), with bounds from
 approximate percentiles of the ids weighed by their texts' size, and a range for every four chunks, so the exchange has at most
@@ -37,6 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import give_back
+
 LENGTH, HALF = 50, 25
 #: Positions that may share a sample.
 WIDTH = LENGTH - HALF + 1
@@ -154,14 +157,24 @@ def _range_of(ranks: np.ndarray, ranges: int) -> np.ndarray:
     return ((ranks >> _U(32)) * _U(ranges)) >> _U(32)
 
 
+def _range_of_sample(samples: np.ndarray, ranges: int) -> np.ndarray:
+    """The same for samples, which are mostly small: a rank u of [0, 1) is the smallest of one of its windows with probability
+    q^25 (1 + 25 u), q = 1 - u, so the share of the samples under u is 1 - q^26 (27 - 25 q) / 2 and ranges of that are even."""
+    q = 1 - (samples >> _U(32)).astype(np.float64) / 2**32
+    q2 = q * q
+    q8 = q2 * q2 * q2 * q2
+    under = 1 - q8 * q8 * q8 * q2 * (WIDTH + 1 - (WIDTH - 1) * q) / 2
+    return np.minimum((under * ranges).astype(np.int64), ranges - 1)
+
+
 SENT = "to int, chunk int, keys binary, more binary, whole binary"
 BACK = "chunk int, origin int, round int, bits binary, more_bits binary, whole_bits binary"
 
 
-def _send(chunk: int, ranges: int, ranks: np.ndarray, more: np.ndarray | None = None, digests: np.ndarray | None = None) -> pd.DataFrame:
-    """Ranks in order, what belongs to them, and digests, cut by range."""
+def _send(chunk: int, ranges: int, ranks: np.ndarray, more: np.ndarray | None = None, digests: np.ndarray | None = None, range_of=_range_of_sample) -> pd.DataFrame:
+    """Ranks in order (samples, unless range_of says else), what belongs to them, and digests, cut by range."""
     rows = []
-    cuts = np.searchsorted(_range_of(ranks, ranges), np.arange(ranges + 1))
+    cuts = np.searchsorted(range_of(ranks, ranges), np.arange(ranges + 1))
     whole = np.searchsorted(_range_of(digests[:, 0], ranges), np.arange(ranges + 1)) if digests is not None else np.zeros(ranges + 1, int)
     for k in range(ranges):
         a, b, c, d = cuts[k], cuts[k + 1], whole[k], whole[k + 1]
@@ -214,6 +227,13 @@ def _sort_range(frame: pd.DataFrame, round_: int, turns: np.ndarray) -> pd.DataF
     return pd.DataFrame(rows, columns=["chunk", "origin", "round", "bits", "more_bits", "whole_bits"])
 
 
+def _lean(f, *args) -> pd.DataFrame:
+    """f of args, after which the worker keeps nothing of what f has freed."""
+    rows = f(*args)
+    give_back()
+    return rows
+
+
 class Chunk:
     """A chunk's documents in order of id; every phase derives the same and goes a round further with the answers."""
 
@@ -225,7 +245,7 @@ class Chunk:
         first, place = _distinct(digests[:, 0], digests[:, 1])
         self.digests = digests[first]
         near = self.ids > self.ids[first][place]  # copies of a document here with a smaller id; the sort is stable, so first is the smallest
-        self.copy = near if back is None else near | self._bits(1, "whole_bits", self.digests[:, 0])[place]
+        self.copy = near if back is None else near | self._bits(1, "whole_bits", self.digests[:, 0], _range_of)[place]
         # runs of all but those copies
         found = []
         for a, b in _blocks(self.texts):
@@ -235,10 +255,10 @@ class Chunk:
         self.block, self.begin, self.size, self.owner, sample = (np.concatenate(c) for c in zip(*found, strict=True)) if found else [np.zeros(0, t) for t in ("i8", "i8", "i8", "i8", "u8")]
         self.samples, self.place = np.unique(sample, return_inverse=True)
 
-    def _bits(self, round_: int, column: str, ranks: np.ndarray) -> np.ndarray:
+    def _bits(self, round_: int, column: str, ranks: np.ndarray, range_of=_range_of_sample) -> np.ndarray:
         """Answers in the order of the ranks that were sent."""
         out = np.zeros(len(ranks), bool)
-        cuts = np.searchsorted(_range_of(ranks, self.ranges), np.arange(self.ranges + 1))
+        cuts = np.searchsorted(range_of(ranks, self.ranges), np.arange(self.ranges + 1))
         mine = self.back[self.back["round"] == round_]
         for o, b in zip(mine["origin"], mine[column], strict=True):
             n = cuts[o + 1] - cuts[o]
@@ -287,7 +307,7 @@ class Chunk:
 
     def covered(self) -> dict[int, np.ndarray]:
         """By a block's first text: where the 50-byte strings start that go."""
-        flags = self._bits(3, "bits", self.positions[0])[self.at] | (self.position_id > self.least[self.at])
+        flags = self._bits(3, "bits", self.positions[0], _range_of)[self.at] | (self.position_id > self.least[self.at])
         start = np.full(len(self.first), -1)
         start[self.open] = _starts(self.open_size)
         whole = self.known[self.kind] | (self.run_id > self.run_id[self.first[self.kind]])
@@ -313,7 +333,7 @@ def _ask(frame: pd.DataFrame, back: pd.DataFrame | None, round_: int, ranges: in
     if round_ == 2:
         return _send(c.number, ranges, *c.kinds)
     c.resolve()
-    return _send(c.number, ranges, *c.positions)
+    return _send(c.number, ranges, *c.positions, range_of=_range_of)
 
 
 def _remove(frame: pd.DataFrame, back: pd.DataFrame, ranges: int, columns: list[str], with_text: bool) -> pd.DataFrame:
@@ -396,10 +416,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fields += [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())] + [T.StructField("kept_text", T.StringType())] * with_text
     names = [f.name for f in fields]
     by = text.groupBy("chunk")
-    answers = lambda sent, r: sent.groupBy("to").applyInPandas(lambda f: _sort_range(f, r, turns), BACK)
-    asker = lambda r: lambda f, b: _ask(f, b, r, ranges)
-    known = answers(by.applyInPandas(lambda f: _ask(f, None, 1, ranges), SENT), 1)
+    answers = lambda sent, r: sent.groupBy("to").applyInPandas(lambda f: _lean(_sort_range, f, r, turns), BACK)
+    asker = lambda r: lambda f, b: _lean(_ask, f, b, r, ranges)
+    known = answers(by.applyInPandas(lambda f: _lean(_ask, f, None, 1, ranges), SENT), 1)
     for r in (2, 3):
         known = known.unionByName(answers(by.cogroup(known.groupBy("chunk")).applyInPandas(asker(r), SENT), r))
-    out = by.cogroup(known.groupBy("chunk")).applyInPandas(lambda f, b: _remove(f, b, ranges, names, with_text), T.StructType(fields))
+    out = by.cogroup(known.groupBy("chunk")).applyInPandas(lambda f, b: _lean(_remove, f, b, ranges, names, with_text), T.StructType(fields))
     return out.select(F.when(F.col("doc_id") < LAST, F.col("doc_id")).alias("doc_id"), *[F.col(n).alias(n.removeprefix("carried_")) for n in names[1:]])

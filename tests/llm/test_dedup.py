@@ -2,6 +2,7 @@ import collections
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,6 +191,38 @@ def test_chunks_of_hot_ids():
     assert suffix_dedup._deal([])[2].tolist() == [1]
 
 
+def test_ranges_of_samples_are_even():
+    rng = np.random.default_rng(5)
+    texts = [rng.bytes(20_000) for _ in range(30)]
+    sent = suffix_dedup._ask(pd.DataFrame({"doc_id": range(30), "text": texts, "chunk": 0}), None, 1, 16)
+    keys = [suffix_dedup._decode(b, np.uint64) for b in sent["keys"]]
+    sizes = [len(k) for k in keys]
+    assert sent["to"].tolist() == list(range(16)) and max(sizes) < 1.2 * np.mean(sizes) and min(sizes) > 0.8 * np.mean(sizes)
+    assert np.concatenate(keys).tolist() == np.unique(suffix_dedup.runs_of(texts)[2]).tolist()
+    ends = np.array([0, 1, 2**31, 2**32 - 1], np.uint64) << np.uint64(32)
+    assert suffix_dedup._range_of_sample(ends, 7).tolist() == [0, 0, 6, 6]
+    near = (np.arange(2**20, dtype=np.uint64) + np.uint64(2**26)) << np.uint64(32)
+    assert (np.diff(suffix_dedup._range_of_sample(near, 2**31)) >= 0).all()
+
+
+def test_freed_memory_goes_back():
+    def held():
+        with open("/proc/self/status") as f:
+            return next(int(x.split()[1]) for x in f if x.startswith("RssAnon")) / 1024
+
+    def work(frame):
+        parts = [bytes(60_000) for _ in range(3000)]  # under the size that the C library maps apart
+        last = bytes(60_000)
+        at.append(held())
+        del parts
+        frame["last"] = [last]  # stands above what was freed
+        return frame
+
+    at = []
+    out = suffix_dedup._lean(work, pd.DataFrame({"a": [1]}))
+    assert len(out) == 1 and held() < at[0] - 100
+
+
 def test_prefix_doubling_by_brute_force(spark):
     """Spark's sorted ranks give the same bytes as brute force, and so as the packed form."""
     texts = corpus(np.random.default_rng(3))
