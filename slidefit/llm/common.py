@@ -5,6 +5,8 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +83,19 @@ def give_back() -> None:
         trim(0)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> Iterator[None]:
+    """Meanwhile Spark hands Python workers some that many bytes at once, one row at least: a batch lies several times outside an
+    executor's heap, in buffers that double as they grow, and again in the worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def read_bytes(path: str) -> bytes:
     """A vocabulary file on the driver; executors get its bytes by broadcast."""
     with open(path, "rb") as f:

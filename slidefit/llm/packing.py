@@ -10,8 +10,8 @@
 
 Null texts count as empty: a document has its end token at least, so it always has one piece. An empty table gives an
 empty result. Repeated rows are packed each; rows without an id keep a null one. Very long texts are cut like others; a batch
-holds some 16 MB of text or one document. Of equal lengths, the smaller id and start come first. Further columns of docs are
-left behind.
+holds some 4 MB of text or one document, after which a worker hands freed memory back. Of equal lengths, the smaller id and
+start come first. Further columns of docs are left behind.
 """
 
 from __future__ import annotations
@@ -30,14 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read_bytes, slices, texts, write_table
+from .common import give_back, read_bytes, slices, small_batches, texts, write_table
 
 log = logging.getLogger(__name__)
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Long words and pre-tokens, slots for short words and ids of words that a worker remembers before it starts anew.
-KNOWN_WORDS, KNOWN_PARTS, SLOTS, POOL = 200_000, 500_000, 1 << 21, 1 << 23
-#: Bytes of text looked up at a time.
-BLOCK = 1 << 20
+KNOWN_WORDS, KNOWN_PARTS, SLOTS, POOL = 200_000, 200_000, 1 << 21, 1 << 23
+#: Ids that a block may add to a full pool before the pool grows; a pool is touched only as far as it is used.
+SPARE = 1 << 20
+#: Bytes of text looked up at a time, and those that a worker gets at a time.
+BLOCK, BATCH = 1 << 19, 1 << 22
 #: The tokenizer's pattern for lower-case words up to U+017F: letters, contractions, single digits, runs of other marks; and line ends.
 _LETTERS, _DIGITS, _SPACE = "a-zA-Zªµº\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff\\u0100-\\u017f", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
 _parts = re.compile(f"[{_LETTERS}]+|\n|'(?:s|t|re|ve|m|ll|d)|[{_DIGITS}]|[^{_SPACE}{_LETTERS}{_DIGITS}]+").findall
@@ -73,7 +75,8 @@ class WordTokens:
     of each is one that ends a word, and no other is.
 
     Words of at most 16 bytes are looked up for a whole block at once, in a table of two places a slot that holds their first
-    and last eight bytes and their length, which are the word; longer ones in a dictionary. Ids lie in one pool.
+    and last eight bytes and their length, which are the word; longer ones in a dictionary. Ids lie in one pool, with 16 bits each
+    if the vocabulary allows.
     """
 
     def __init__(self, blob: bytes):
@@ -87,7 +90,7 @@ class WordTokens:
         self.plain = Tokenizer.from_str(json.dumps(plain))  # for pre-tokens, which need no cutting any more
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for v, k in vocabulary.items() if v.endswith(_WORD_END)]] = True
-        self.table, self.pool, self.used = np.zeros(SLOTS, _RECORD), np.zeros(1 << 16, "<u4"), 0
+        self.table, self.pool, self.used = np.zeros(SLOTS, _RECORD), np.zeros(POOL + SPARE, "<u2" if len(self.ends) <= 1 << 16 else "<u4"), 0
 
     def _ids(self, texts: list[str], plain: bool = False) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in (self.plain if plain else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
@@ -139,7 +142,7 @@ class WordTokens:
         total, start = int(n.sum()), np.zeros(len(words), np.int64)
         start[order] = self.used + np.cumsum(n[order]) - n[order]
         if self.used + total > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(self.pool), total), "<u4")])
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(total + SPARE, self.pool.dtype)])
         if total:
             self.pool[self.used : self.used + total] = np.concatenate(ids)
         self.used += total
@@ -149,6 +152,8 @@ class WordTokens:
         """Ids of all texts one after another, and where each text's end."""
         if self.used > POOL or len(self.long) > KNOWN_WORDS:
             self.table, self.used, self.long = np.zeros(SLOTS, _RECORD), 0, {}
+            if len(self.pool) > POOL + SPARE:  # a very long text came by
+                self.pool = np.zeros(POOL + SPARE, self.pool.dtype)
         joined = bytes(8) + b"\n".join(texts) + b"\n" + bytes(8)
         raw = np.frombuffer(joined, np.uint8)
         own = raw[8:-8]
@@ -188,7 +193,7 @@ class WordTokens:
             record["first"], record["last"], record["start"], record["size"], record["n"] = first[put], last[put], start[put], size[put], n[put]
             self.table[at] = record
         stop = np.cumsum(n)
-        ids = self.pool[np.repeat(start - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)]
+        ids = self.pool[np.repeat(start - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)].astype("<u4")
         bounds = np.cumsum([len(t) + 1 for t in texts]) + 8
         return ids, np.r_[0, stop][np.searchsorted(begin, bounds)]
 
@@ -218,13 +223,14 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_i
             _state.update(key=(tokenizer_path, len(blob.value)), words=WordTokens(blob.value))
         names = [f.split()[0] for f in PIECES.split(", ")]
         for b in batches:
-            for part in slices(b, 1, 16 * BLOCK):
+            for part in slices(b, 1, BATCH):
                 rows: list[tuple] = []
                 for doc, ids in zip(part.column(0).to_pylist(), _state["words"].documents(part.column(1).to_pylist()), strict=True):
                     ids = np.append(ids, end)
                     n = len(ids)
                     rows += [(doc, s, min(window, n - s), zlib.crc32(ids[s : s + window]), n) for s in range(0, n, window)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
+                give_back()
 
     return texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(cut, PIECES)
 
@@ -404,5 +410,6 @@ def pack(pieces: DataFrame, window: int = 4096, unit: int = 8, salts: int | None
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2, unit: int = 8) -> DataFrame:
     """Tokenize, cut and pack: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    pieces, _ = write_table(token_pieces(docs, tokenizer_path, window, end_id), "pieces")
+    with small_batches(docs.sparkSession, BATCH):
+        pieces, _ = write_table(token_pieces(docs, tokenizer_path, window, end_id), "pieces")
     return pack(pieces, window, unit)

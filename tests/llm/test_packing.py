@@ -1,7 +1,9 @@
+import json
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,6 +25,24 @@ def test_ids_are_the_tokenizers(words):
         assert ids.tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_ids_of_wide_vocabularies_and_full_pools(monkeypatch):
+    """Ids beyond 16 bits; a pool that is full at every block and grows for a long text."""
+    monkeypatch.setattr(packing, "POOL", 100)
+    monkeypatch.setattr(packing, "SPARE", 50)
+    monkeypatch.setattr(packing, "BLOCK", 200)
+    blob = json.loads(open(PATH, "rb").read())
+    wide = blob | {"model": blob["model"] | {"vocab": {k: v + 100_000 for k, v in blob["model"]["vocab"].items()}}, "added_tokens": [t | {"id": t["id"] + 100_000} for t in blob["added_tokens"]]}
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abcde é12 "), n)) for n in [50, 2000, 20, 0, 300] * 4]
+    for b, size in ((blob, 2), (wide, 4)):
+        words = packing.WordTokens(json.dumps(b).encode())
+        assert words.pool.dtype.itemsize == size
+        for t, ids in zip(texts, words.documents([t.encode() for t in texts]), strict=True):
+            assert ids.dtype == np.dtype("<u4") and ids.tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids
+        next(words.documents([b"a"]))
+        assert len(words.pool) <= 150
+
+
 def test_combinations_fill_the_window():
     c = packing.combinations(30)
     assert (c.sum(1) == 30).all() and len({tuple(r) for r in c.tolist()}) == len(c)
@@ -91,3 +111,25 @@ def test_packing_documents(spark, words):
     assert packing.pack_documents(df.limit(0), PATH, window=256).count() == 0
     with pytest.raises(ValueError):
         packing.pack(df, window=100, unit=8)
+
+
+def test_workers_get_small_batches(spark, monkeypatch):
+    """Whatever the session lets through at once, and its setting stays; the driver's rows are as many."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(docs, *_):
+        def one(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n_rows", "n_bytes"])
+
+        return docs.mapInArrow(one, "n_rows long, n_bytes long")
+
+    monkeypatch.setattr(packing, "token_pieces", sizes)
+    monkeypatch.setattr(packing, "pack", lambda pieces, *_: pieces)
+    docs = spark.range(0, 4000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text"))
+    got = packing.pack_documents(docs, PATH).collect()
+    assert sum(r.n_rows for r in got) == 4000 and max(r.n_bytes for r in got) < 5 << 20
+    long = docs.limit(3).withColumn("text", F.repeat("text", 2000))
+    assert [r.n_rows for r in packing.pack_documents(long, PATH).collect()] == [1, 1, 1]
+    assert spark.conf.get(key) == before
